@@ -17,12 +17,13 @@ batch to its bucket. Nothing is capped or sampled.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,9 @@ PERIOD = 13
 COVER = (0, 1, 3, 9)
 #: Entries held by a task before it settles and sends them.
 FLUSH = 1 << 20
-#: Stands for a null doc_id: such rows come first in the order.
+#: Settled entries sent along with one bucket.
+KNOWN = 1 << 13
+#: Stands for a null doc_id: such rows come first in the order (an id of this value reads as null).
 NO_ID = -(1 << 63)
 _A, _B = Rolling(11), Rolling(12)
 
@@ -44,7 +47,7 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _send(bucket_of: np.ndarray, keys: list[np.ndarray], doc: np.ndarray, pos: np.ndarray, buckets: int, known: tuple[np.ndarray, np.ndarray], turn: int) -> pa.RecordBatch:
-    """Rows (bucket, payload): entries sorted by bucket; ``known`` (doc, pos) ride along with one bucket."""
+    """Rows (bucket, payload): entries sorted by bucket; ``known`` (doc, pos) ride along in turn with the buckets."""
     edges = np.searchsorted(bucket_of, np.arange(buckets + 1))
     rows, out = [], []
     for b in np.flatnonzero(np.diff(edges)):
@@ -54,10 +57,10 @@ def _send(bucket_of: np.ndarray, keys: list[np.ndarray], doc: np.ndarray, pos: n
         first = np.diff(keys[0][a:z], prepend=np.uint64(0))
         out.append(head + pack(first) + b"".join(pack(k[a:z]) for k in keys[1:]) + pack(index.astype(np.uint32)) + pack(pos[a:z].astype(np.int32)) + pack(ids))
         rows.append(int(b))
-    if len(known[0]):
-        ids, index = np.unique(known[0], return_inverse=True)
-        out.append(np.array([0, len(ids), len(index)], np.int64).tobytes() + pack(index.astype(np.uint32)) + pack(known[1].astype(np.int32)) + pack(ids))
-        rows.append(turn % buckets)
+    for k, at in enumerate(range(0, len(known[0]), KNOWN)):
+        ids, index = np.unique(known[0][at : at + KNOWN], return_inverse=True)
+        out.append(np.array([0, len(ids), len(index)], np.int64).tobytes() + pack(index.astype(np.uint32)) + pack(known[1][at : at + KNOWN].astype(np.int32)) + pack(ids))
+        rows.append((turn + k) % buckets)
     return pa.record_batch([pa.array(rows, pa.int32()), pa.array(out, pa.binary())], ["bucket", "payload"])
 
 
@@ -107,7 +110,7 @@ def repeated_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        turn = 0
+        turn = 7919 * TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
             h, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -134,7 +137,7 @@ def repeated_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                     held.append((h, _ids(part.column("k"))[doc_of[use]], at[use].astype(np.int32)))
                 if sum(len(x[0]) for x in held) >= FLUSH:
                     yield flush()
-                    turn += 7919
+                    turn += 104729
         if held:
             yield flush()
 
@@ -151,12 +154,12 @@ def repeated_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
 
 def later_windows(docs: DataFrame, anchors: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(k, pos): each window start whose words also start earlier."""
+    """(k, pos): each window start whose words also start earlier. All columns of docs are read, as in the last step, which shares their exchange."""
     reach = PERIOD - 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        turn = 0
+        turn = 7919 * TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
             h, g, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -189,7 +192,7 @@ def later_windows(docs: DataFrame, anchors: DataFrame, window: int, buckets: int
                         held.append((h, g, _ids(part.column("k"))[doc_of[use]], (use - first[doc_of[use]]).astype(np.int32)))
                 if sum(len(x[0]) for x in held) >= FLUSH:
                     yield flush()
-                    turn += 7919
+                    turn += 104729
         if held:
             yield flush()
 
@@ -204,24 +207,26 @@ def later_windows(docs: DataFrame, anchors: DataFrame, window: int, buckets: int
         return pa.Table.from_batches([_pairs(np.concatenate([doc[late], known_doc]), np.concatenate([pos[late], known_pos]))])
 
     found = docs.join(anchors.groupBy("k").agg(F.collect_list("pos").alias("at")), "k")
-    sent = found.select("k", "text", "at").mapInArrow(send, "bucket int, payload binary")
+    sent = found.mapInArrow(send, "bucket int, payload binary")
     return sent.groupBy("bucket").applyInArrow(settle, "k long, pos int")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, buckets: int | None = None) -> DataFrame:
-    """Per row of ``docs``: id_col, n_words, n_removed, kept (the kept words joined by one space; null for a null text).
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, buckets: int | None = None, keep: tuple[str, ...] = (), normalise: bool = True) -> DataFrame:
+    """Per row of ``docs``: id_col, the ``keep`` columns, n_words, n_removed, kept (the kept words joined by one space; null for a null text).
+
+    Without ``normalise`` a text of which nothing goes stays exactly as it is.
 
     Words are runs of characters other than space and U+0009 to U+000D. A word goes if a window over it
     also starts earlier: in a smaller id, or in the same document before. Windows are judged on the input.
     Null and empty texts have no words. Null ids come first in the order and count as one document; rows that
     share an id count as one document too: a start flagged for the id is flagged in each of its rows, and equal rows don't
-    flag each other. Texts may have any length. Other columns are left out; the caller joins them by id.
+    flag each other. Texts may have any length. Columns not in ``keep`` are left out.
     """
     if window < PERIOD + 1:
         raise ValueError(f"window must be at least {PERIOD + 1} words")
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
     anchors = repeated_anchors(docs.select("k", "text"), window, buckets)
     late = later_windows(docs, anchors, window, buckets).groupBy("k").agg(F.collect_list("pos").alias("late"))
 
@@ -241,14 +246,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                         words = list(compress(words, (np.cumsum(mark[:n]) == 0).tolist()))
                     n_words.append(n)
                     n_removed.append(n - len(words))
-                    kept.append(None if text is None else b" ".join(words))
-                k, no_id = part.column("k"), part.column("no_id")
-                ids = pa.compute.if_else(no_id, pa.scalar(None, pa.int64()), k)
-                yield pa.record_batch([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept"])
-
-    joined = docs.join(late, "k", "left").select("k", "no_id", "text", "late")
-    return joined.mapInArrow(finish, "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
-
-
-def kept_sha256(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
+                    kept.append(text if text is None or (not normalise and len(words) == n) else b" ".join(words))
+                k = part.column("k")
+                ids = pc.if_else(pc.equal(k, NO_ID), pa.scalar(None, pa.int64()), k)
+                rest = [part.column(f"_{i}") for i in range(len(keep))]
+                yield pa.record_batch([ids, *rest, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", *(f"_{i}" for i in range(len(keep))), "n_words", "n_removed", "kept"])
+
+    # the texts' exchange by k is the same as in later_windows, so Spark runs it once
+    joined = docs.join(late, "k", "left")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(["id long", *(f"_{i} {kinds[f'_{i}']}" for i in range(len(keep))), "n_words long, n_removed long, kept string"])
+    return joined.mapInArrow(finish, schema).withColumnsRenamed({"id": id_col} | {f"_{i}": c for i, c in enumerate(keep)})
