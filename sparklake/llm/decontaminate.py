@@ -171,3 +171,20 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
         part = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, item_id long, similarity double, hamming int, first_word long")
         found = part if found is None else found.union(part)
     return found.withColumnRenamed("id", id_col)
+
+
+def clean(docs: DataFrame, bench: DataFrame, id_col: str = "item_id", text_col: str = "text", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark item: see ``contaminated``. Null texts stay."""
+    for rows in _passes(bench, id_col, item_text):
+        items = Items(rows)
+
+        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in pieces(batch, text_col):
+                    words = Words(pc.utf8_lower(part.column(text_col)), NOT_ALNUM)
+                    held = np.ones(len(part), bool)
+                    held[[d for d, *_ in _matches(words, items, threshold)]] = False
+                    yield part.filter(pa.array(held))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklake.llm import decontaminate, language_id, mixing, quality_rules, simhash_dedup, substring_dedup, url_filter
+from sparklake.llm import chat_format, decontaminate, language_id, mixing, quality_rules, simhash_dedup, substring_dedup, token_count, url_filter, warc
+from sparklake.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_pages(_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return found.select(F.col("row").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_row").alias("refers_to"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.fit(docs))
@@ -39,6 +45,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), [url_filter.prefix_rule(*r) for r in URL_RULES]).drop("candidates")
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = chat_format.conversations(_table(spark, sf_dir, "conversations"))
+    return chat_format.format_preferences(chat_format.contrast_pairs(convs))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rules = quality_rules.learn(quality_rules.sample(docs, _table(spark, sf_dir, "labels")))
@@ -51,6 +62,10 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_language_id, op4_decontaminate, op5_mix_sources, op6_url_filter, op8_quality_rules, op9_simhash_dedup)}
+def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_language_id, op4_decontaminate, op5_mix_sources, op6_url_filter, op7_chat_format, op8_quality_rules, op9_simhash_dedup, op10_token_count)}
 
 ORACLE_SQL: dict[str, str] = {}
