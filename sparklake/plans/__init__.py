@@ -1 +1,5 @@
-REGISTRIES: tuple = ()
+"""The registered queries, by family."""
+
+from sparklake.plans import aggregation, joins, projection, sets, sources, windows
+
+REGISTRIES = tuple(m.QUERIES for m in (sources, projection, joins, aggregation, windows, sets))
