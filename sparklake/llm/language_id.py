@@ -25,6 +25,7 @@ from sparklake.llm._text import Words, pieces
 TYPES = 1 << 16
 #: Labelled rows of each language that a model is fitted on, at most.
 SAMPLE_ROWS = 400
+SLICES = 64
 #: Bytes of each sampled text that a model is fitted on, at most; predictions always use whole texts.
 SAMPLE_BYTES = 1 << 14
 ROUNDS, FLOOR = 8, 1e-6
@@ -121,9 +122,17 @@ def infer(scores: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def sample(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """At most ``rows`` labelled texts with a letter for each language: those whose hashed order comes first, so reruns agree."""
-    w = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(7), order_col), order_col)
-    found = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), order_col, F.left(text_col, F.lit(SAMPLE_BYTES)).alias("text"))
-    return [(r.lang, r.text) for r in found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= rows).select("lang", "text").collect()]
+    key = F.xxhash64(F.lit(7), "id")
+    order = (key, "id")
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    ranked = usable.select(F.col(lang_col).alias("lang"), F.col(order_col).alias("id"))
+    # ids only, first among the rows of each slice of the hash, then among those that are left: at most SLICES * rows in a task
+    for group in (["lang", F.pmod(key, F.lit(SLICES))], ["lang"]):
+        ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("n") <= rows)
+    picked = ranked.select("id").distinct()
+    texts = usable.select(F.col(order_col).alias("id"), F.col(lang_col).alias("lang"), F.left(text_col, F.lit(SAMPLE_BYTES)).alias("text"))
+    found = texts.join(F.broadcast(picked), "id").select("lang", "text", "id")
+    return [(r.lang, r.text) for r in sorted(found.collect(), key=lambda r: (r.lang, r.id, r.text))]
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
