@@ -1,5 +1,5 @@
 """The registered queries, by family."""
 
-from sparklake.plans import aggregation, functions, joins, projection, sets, sources, udfs, windows
+from sparklake.plans import aggregation, functions, joins, projection, sets, sources, tables, udfs, windows
 
-REGISTRIES = tuple(m.QUERIES for m in (sources, projection, joins, aggregation, windows, sets, functions, udfs))
+REGISTRIES = tuple(m.QUERIES for m in (sources, projection, joins, aggregation, windows, sets, functions, udfs, tables))
