@@ -180,7 +180,8 @@ class VersionedTable:
             # the columns stay in the files, so a list of files reads without their folders
             held = physical.withColumns({f"_p{i}": F.col(f"`{c}`") for i, c in enumerate(parts)})
             keys = [f"_p{i}" for i in range(len(parts))]
-            held.repartition(*keys, F.pmod(F.xxhash64(*physical.columns), F.lit(8))).write.partitionBy(*keys).parquet(self.store.full(folder))
+            # rebalancing splits a hot partition over tasks and puts small ones together
+            held.hint("rebalance", *keys).write.partitionBy(*keys).parquet(self.store.full(folder))
         else:
             physical.write.parquet(self.store.full(folder))
         files = [(p, size) for p, size, _ in self.store.list(folder, recursive=True) if p.endswith(".parquet")]
