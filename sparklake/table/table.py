@@ -178,7 +178,8 @@ class VersionedTable:
         parts = [names[c] for c in snapshot.meta["partitionBy"]]
         if parts:
             # the columns stay in the files, so a list of files reads without their folders
-            held = physical.withColumns({f"_p{i}": F.col(f"`{c}`") for i, c in enumerate(parts)})
+            # (as folders, empty strings and nulls would be one, so values get a prefix)
+            held = physical.withColumns({f"_p{i}": F.concat(F.lit("v"), F.col(f"`{c}`").cast("string")) for i, c in enumerate(parts)})
             keys = [f"_p{i}" for i in range(len(parts))]
             # rebalancing splits a hot partition over tasks and puts small ones together
             held.hint("rebalance", *keys).write.partitionBy(*keys).parquet(self.store.full(folder))
