@@ -68,4 +68,27 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_language_id, op4_decontaminate, op5_mix_sources, op6_url_filter, op7_chat_format, op8_quality_rules, op9_simhash_dedup, op10_token_count)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: SQL has no XXH64, mixture inference, seeded permutation or unigram model; those operators are tested against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+        x AS (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS win FROM t),
+        l AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM (SELECT doc_id, i, array_to_string(win, ' ') AS win FROM x WHERE len(win) = 20)) WHERE n > 1),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM l),
+        k AS (SELECT t.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY t.i) AS kept FROM t ANTI JOIN c ON t.doc_id = c.doc_id AND t.i = c.i GROUP BY 1)
+        SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op2_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        m AS (SELECT page_id, body, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+        SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
+            CASE WHEN strlen(body) >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN strlen(body) >= 1000 AND page_id < last THEN last END AS refers_to FROM m""",
+    "op6_url_filter": """
+        WITH r(verdict, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')),
+        u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+        p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+        m AS (SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS n FROM p JOIN r
+            ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/'))))
+        SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id AND n = 1""",
+}
