@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparklake.operators import skew
-from sparklake.plans._registry import Registry, table
+from sparklake.plans._registry import Registry, listed, table
 
 QUERIES = Registry()
 add = QUERIES.add
@@ -93,9 +93,9 @@ def agg_first_last(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_kind"), F.max_by("event_type", "event_id").alias("last_kind"))
 
 
-@add("SELECT n_regionkey, list_sort(list(n_name)) AS names, list_sort(list(DISTINCT substr(n_name, 1, 1))) AS letters FROM nation GROUP BY 1")
+@add("SELECT n_regionkey, array_to_string(list_sort(list(n_name)), ',') AS names, array_to_string(list_sort(list(DISTINCT substr(n_name, 1, 1))), ',') AS letters FROM nation GROUP BY 1")
 def agg_collect(spark, sf):
-    return table(spark, sf, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"), F.sort_array(F.collect_set(F.substring("n_name", 1, 1))).alias("letters"))
+    return table(spark, sf, "nation").groupBy("n_regionkey").agg(listed(F.sort_array(F.collect_list("n_name"))).alias("names"), listed(F.sort_array(F.collect_set(F.substring("n_name", 1, 1)))).alias("letters"))
 
 
 def _shaped(shape):

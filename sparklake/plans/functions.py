@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparklake.plans._registry import Registry, table
+from sparklake.plans._registry import Registry, listed, table
 
 QUERIES = Registry()
 add = QUERIES.add
@@ -163,9 +163,9 @@ def fn_null(spark, sf):
 
 @add(
     """WITH a AS (SELECT n_nationkey AS id, [n_regionkey, n_nationkey % 3, n_regionkey, 9] AS x, [9, 1] AS y FROM nation)
-    SELECT id, list_contains(x, 2) AS has, len(x)::INTEGER AS size, list_sort(list_distinct(x)) AS dis, list_sort(list_distinct(list_intersect(x, y))) AS inter, list_sort(list_distinct(list_concat(x, y))) AS uni,
-    list_sort(list_distinct(list_filter(x, lambda e: NOT list_contains(y, e)))) AS exc, list_sort(x) AS sorted, list_filter([id, NULL, 1], lambda e: e IS NOT NULL) AS comp, list_append(y, 5) AS app, list_prepend(5, y) AS pre,
-    [9, 7, 1] AS ins, flatten([x, y]) AS flat, x[1] AS first, x[-1] AS last, x[2:3] AS sl, list_position(x, 9)::BIGINT AS pos, list_reverse(y) AS rev, list_max(x) AS mx FROM a"""
+    SELECT id, list_contains(x, 2) AS has, len(x)::INTEGER AS size, array_to_string(list_sort(list_distinct(x)), ',') AS dis, array_to_string(list_sort(list_distinct(list_intersect(x, y))), ',') AS inter, array_to_string(list_sort(list_distinct(list_concat(x, y))), ',') AS uni,
+    array_to_string(list_sort(list_distinct(list_filter(x, lambda e: NOT list_contains(y, e)))), ',') AS exc, array_to_string(list_sort(x), ',') AS sorted, array_to_string(list_filter([id, NULL, 1], lambda e: e IS NOT NULL), ',') AS comp, array_to_string(list_append(y, 5), ',') AS app, array_to_string(list_prepend(5, y), ',') AS pre,
+    array_to_string([9, 7, 1], ',') AS ins, array_to_string(flatten([x, y]), ',') AS flat, x[1] AS first, x[-1] AS last, array_to_string(x[2:3], ',') AS sl, list_position(x, 9)::BIGINT AS pos, array_to_string(list_reverse(y), ',') AS rev, list_max(x) AS mx FROM a"""
 )
 def fn_array(spark, sf):
     n = table(spark, sf, "nation")
@@ -174,45 +174,45 @@ def fn_array(spark, sf):
         "id",
         F.array_contains("x", 2).alias("has"),
         F.size("x").alias("size"),
-        F.sort_array(F.array_distinct("x")).alias("dis"),
-        F.sort_array(F.array_intersect("x", "y")).alias("inter"),
-        F.sort_array(F.array_union("x", "y")).alias("uni"),
-        F.sort_array(F.array_except("x", "y")).alias("exc"),
-        F.sort_array("x").alias("sorted"),
-        F.array_compact(F.array("id", F.lit(None), F.lit(1))).alias("comp"),
-        F.array_append("y", F.lit(5)).alias("app"),
-        F.array_prepend("y", F.lit(5)).alias("pre"),
-        F.array_insert("y", 2, F.lit(7)).alias("ins"),
-        F.flatten(F.array("x", "y")).alias("flat"),
+        listed(F.sort_array(F.array_distinct("x"))).alias("dis"),
+        listed(F.sort_array(F.array_intersect("x", "y"))).alias("inter"),
+        listed(F.sort_array(F.array_union("x", "y"))).alias("uni"),
+        listed(F.sort_array(F.array_except("x", "y"))).alias("exc"),
+        listed(F.sort_array("x")).alias("sorted"),
+        listed(F.array_compact(F.array("id", F.lit(None), F.lit(1)))).alias("comp"),
+        listed(F.array_append("y", F.lit(5))).alias("app"),
+        listed(F.array_prepend("y", F.lit(5))).alias("pre"),
+        listed(F.array_insert("y", 2, F.lit(7))).alias("ins"),
+        listed(F.flatten(F.array("x", "y"))).alias("flat"),
         F.element_at("x", 1).alias("first"),
         F.element_at("x", -1).alias("last"),
-        F.slice("x", 2, 2).alias("sl"),
+        listed(F.slice("x", 2, 2)).alias("sl"),
         F.array_position("x", 9).alias("pos"),
-        F.reverse("y").alias("rev"),
+        listed(F.reverse("y")).alias("rev"),
         F.array_max("x").alias("mx"),
     )
 
 
 @add(
-    """SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v)), 4) AS norm2, list_transform(embedding[1:3], lambda v: v > 0) AS positive, len(list_filter(embedding, lambda v: v > 0))::INTEGER AS n_pos,
+    """SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v)), 4) AS norm2, array_to_string(list_transform(embedding[1:3], lambda v: v > 0), ',') AS positive, len(list_filter(embedding, lambda v: v > 0))::INTEGER AS n_pos,
     len(list_filter(embedding, lambda v: v > 2)) > 0 AS any_large, len(list_filter(embedding, lambda v: v < 10)) = len(embedding) AS all_small FROM embeddings"""
 )
 def fn_hof(spark, sf):
     return table(spark, sf, "embeddings").select(
         "vec_id",
         F.round(F.aggregate("embedding", F.lit(0.0), lambda acc, v: acc + v.cast("double") * v), 4).alias("norm2"),
-        F.transform(F.slice("embedding", 1, 3), lambda v: v > 0).alias("positive"),
+        listed(F.transform(F.slice("embedding", 1, 3), lambda v: v > 0)).alias("positive"),
         F.size(F.filter("embedding", lambda v: v > 0)).alias("n_pos"),
         F.exists("embedding", lambda v: v > 2).alias("any_large"),
         F.forall("embedding", lambda v: v < 10).alias("all_small"),
     )
 
 
-@add("SELECT n_nationkey, n_name AS by_key, TRUE AS has, 1::INTEGER AS kept, list_sort(['name', 'region']) AS keys FROM nation")
+@add("SELECT n_nationkey, n_name AS by_key, TRUE AS has, 1::INTEGER AS kept, 'name,region' AS keys FROM nation")
 def fn_map(spark, sf):
     m = F.create_map(F.lit("name"), F.col("n_name"), F.lit("region"), F.col("n_regionkey").cast("string"))
     kept = F.map_filter(m, lambda k, v: k == "name")
-    return table(spark, sf, "nation").select("n_nationkey", m["name"].alias("by_key"), F.map_contains_key(m, "name").alias("has"), F.size(kept).alias("kept"), F.sort_array(F.map_keys(m)).alias("keys"))
+    return table(spark, sf, "nation").select("n_nationkey", m["name"].alias("by_key"), F.map_contains_key(m, "name").alias("has"), F.size(kept).alias("kept"), listed(F.sort_array(F.map_keys(m))).alias("keys"))
 
 
 @add("SELECT n_nationkey, 'name' AS key, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'region', n_regionkey::VARCHAR FROM nation")

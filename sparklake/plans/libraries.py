@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparklake.dimensions import scd
 from sparklake.operators import dedup, temporal
 from sparklake.pipelines import orders as pipeline
-from sparklake.plans._registry import Registry, table
+from sparklake.plans._registry import Registry, listed, table
 from sparklake.quality import rules as dq
 from sparklake.session import scratch_path
 from sparklake.table import VersionedTable
@@ -45,14 +45,14 @@ def dq_good(spark, sf):
     return dq.split(_checked(spark, sf), RULES)[0]
 
 
-@add(f"SELECT *, list_filter([CASE WHEN c_acctbal <= 0 THEN 'positive' END, CASE WHEN {_BAD_SEG} THEN 'known_segment' END], lambda x: x IS NOT NULL) AS _dq_reasons FROM {_DQ} WHERE c_acctbal <= 0 OR {_BAD_SEG}")
+@add(f"SELECT *, array_to_string(list_filter([CASE WHEN c_acctbal <= 0 THEN 'positive' END, CASE WHEN {_BAD_SEG} THEN 'known_segment' END], lambda x: x IS NOT NULL), ',') AS _dq_reasons FROM {_DQ} WHERE c_acctbal <= 0 OR {_BAD_SEG}")
 def dq_bad(spark, sf):
-    return dq.split(_checked(spark, sf), RULES)[1]
+    return dq.split(_checked(spark, sf), RULES)[1].withColumn("_dq_reasons", listed(F.col("_dq_reasons")))
 
 
-@add(f"SELECT c_custkey, list_filter([CASE WHEN c_acctbal <= 0 THEN 'positive' END, CASE WHEN {_BAD_SEG} THEN 'known_segment' END, CASE WHEN seg IS NULL THEN 'has_segment' END], lambda x: x IS NOT NULL) AS flags, NOT (c_acctbal <= 0 OR {_BAD_SEG}) AS ok FROM {_DQ}")
+@add(f"SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_acctbal <= 0 THEN 'positive' END, CASE WHEN {_BAD_SEG} THEN 'known_segment' END, CASE WHEN seg IS NULL THEN 'has_segment' END], lambda x: x IS NOT NULL), ',') AS flags, NOT (c_acctbal <= 0 OR {_BAD_SEG}) AS ok FROM {_DQ}")
 def dq_flags(spark, sf):
-    return dq.with_flags(_checked(spark, sf), RULES).select("c_custkey", F.col("_dq_flags").alias("flags"), F.col("_dq_pass").alias("ok"))
+    return dq.with_flags(_checked(spark, sf), RULES).select("c_custkey", listed(F.col("_dq_flags")).alias("flags"), F.col("_dq_pass").alias("ok"))
 
 
 @add("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
@@ -180,12 +180,12 @@ def etl_bronze(spark, sf):
     return VersionedTable.for_path(spark, config.table("bronze")).to_df().groupBy("batch_date", "batch_id").agg(F.count("*").alias("n"))
 
 
-@add("SELECT o_orderkey::VARCHAR AS order_id, o_totalprice::DECIMAL(18,2) AS amount, o_orderdate::DATE AS order_date FROM orders WHERE o_orderkey % 10 <> 0 AND o_orderkey % 15 <> 1")
+@add("SELECT o_orderkey::VARCHAR AS order_id, o_totalprice::DECIMAL(18,2)::DOUBLE AS amount, o_orderdate::DATE AS order_date FROM orders WHERE o_orderkey % 10 <> 0 AND o_orderkey % 15 <> 1")
 def etl_silver(spark, sf):
     config = _loaded(spark, sf)
     for _ in range(2):  # a replay merges nothing new
         silver, _ = pipeline.build_silver(spark, config, "2024-01-01")
-    return silver.to_df().select("order_id", "amount", "order_date")
+    return silver.to_df().select("order_id", F.col("amount").cast("double").alias("amount"), "order_date")
 
 
 @add("SELECT CASE WHEN o_orderkey % 15 = 1 THEN 'no order_id,no customer_id,no sku,no amount,no order_time' ELSE 'amount not positive' END AS reason, count(*) AS n FROM orders WHERE o_orderkey % 10 = 0 OR o_orderkey % 15 = 1 GROUP BY 1")

@@ -97,13 +97,13 @@ def case_when(spark, sf):
     return _orders(spark, sf).select("o_orderkey", F.when(F.col("o_totalprice") > 200000, "gold").when(F.col("o_totalprice") > 100000, "silver").alias("tier"))
 
 
-@add("SELECT o_orderkey, o_orderkey::VARCHAR AS as_text, trunc(o_totalprice)::BIGINT AS as_long, o_totalprice::DECIMAL(18,2) AS as_money, o_orderdate::DATE AS as_date, TRY_CAST(o_orderpriority AS INTEGER) AS bad FROM orders")
+@add("SELECT o_orderkey, o_orderkey::VARCHAR AS as_text, trunc(o_totalprice)::BIGINT AS as_long, o_totalprice::DECIMAL(18,2)::VARCHAR AS as_money, o_orderdate::DATE AS as_date, TRY_CAST(o_orderpriority AS INTEGER) AS bad FROM orders")
 def cast_types(spark, sf):
     return _orders(spark, sf).select(
         "o_orderkey",
         F.col("o_orderkey").cast("string").alias("as_text"),
         F.col("o_totalprice").cast("long").alias("as_long"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("as_money"),
+        F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("as_money"),
         F.col("o_orderdate").cast("date").alias("as_date"),
         F.col("o_orderpriority").try_cast("int").alias("bad"),
     )
