@@ -16,17 +16,25 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str,
     return points.withColumn("_b", F.floor(F.col(at) / width)).join(listed, [*keys, "_b"]).where(F.col(at).between(F.col(lo), F.col(hi))).drop("_b")
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: tuple[str, ...]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: tuple[str, ...], slices: str | None = None) -> DataFrame:
     """Each left row with ``values`` and ``right_at`` of the latest right row of its key at or before it (null if there is none).
 
     One shuffle and sort of both sides together. Of right rows with equal key and time the greatest values win. Null keys match nothing.
+    For hot keys, ``slices`` is a monotonic SQL expression of the time ``_t`` (say ``date_trunc('day', _t)``): a key is then sorted in
+    slices, each of which starts from the last right row of the slices before it, found on one row for each key and slice.
     """
     held = F.struct(F.col(right_at).alias("at"), *values)
     a = left.select(F.col(key).alias("_k"), F.col(left_at).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))
     b = right.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(right_at).alias("_t"), F.lit(0).alias("_side"), held.alias("_r"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy("_k").orderBy("_t", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_s", F.expr(slices) if slices else F.lit(0))
+    w = Window.partitionBy("_k", "_s").orderBy("_t", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    if slices:
+        ends = b.withColumn("_s", F.expr(slices)).groupBy("_k", "_s").agg(F.max_by("_r", F.struct("_t", "_r")).alias("_last"))
+        needed = ends.unionByName(both.where("_side = 1").select("_k", "_s").distinct(), allowMissingColumns=True).groupBy("_k", "_s").agg(F.max("_last").alias("_last"))
+        before = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        carried = needed.withColumn("_c", F.last("_last", ignorenulls=True).over(before)).where("_c IS NOT NULL").select("_k", "_s", "_c")
+        found = found.join(carried, ["_k", "_s"], "left").withColumn("_r", F.coalesce("_r", "_c"))
     return found.select("_l.*", F.col("_r.at").alias(right_at), *[F.col(f"_r.{v}").alias(v) for v in values])
 
 
@@ -43,3 +51,14 @@ def sessionize(df: DataFrame, key: str, at: str, gap_seconds: int, tie: str) ->
     gap = seconds - F.lag(seconds).over(w)
     starts = F.when(gap.isNull() | (gap > gap_seconds * 1_000_000), 1).otherwise(0)
     return df.withColumn("_s", starts).withColumn("session", F.sum("_s").over(w)).drop("_s")
+
+
+def exponential_mean(df: DataFrame, key: str, order: list[str], value: str, alpha: float, name: str = "ewm") -> DataFrame:
+    """df with the exponentially weighted mean so far: m = alpha * value + (1 - alpha) * m before, from the first value on. Null values keep m.
+
+    The fold runs over a key's earlier values in one window frame, so a key's rows should be few thousand at most.
+    """
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    start = F.lit(None).cast("double")
+    fold = F.aggregate(F.collect_list(value).over(w), start, lambda m, x: F.when(m.isNull(), x.cast("double")).otherwise(alpha * x + (1 - alpha) * m))
+    return df.withColumn(name, fold)

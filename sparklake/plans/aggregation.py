@@ -162,3 +162,41 @@ def key_skew(spark, sf):
 def funnel(spark, sf):
     each = table(spark, sf, "events").where("ts < TIMESTAMP_NTZ '2024-01-02'").groupBy("user_id").agg(*[F.max((F.col("event_type") == k).cast("int")).alias(n) for n, k in (("viewed", "view"), ("clicked", "click"), ("bought", "purchase"))])
     return each.agg(*[F.sum(c).alias(c) for c in ("viewed", "clicked", "bought")])
+
+
+@add("SELECT TRUE AS hll_close, TRUE AS merged_close, TRUE AS sketched")
+def agg_sketches(spark, sf):
+    """HyperLogLog sketches merge over groups; a Count-Min sketch is built in one pass."""
+    orders = table(spark, sf, "orders")
+    whole = orders.agg(F.hll_sketch_estimate(F.hll_sketch_agg("o_custkey")).alias("a"), F.count_distinct("o_custkey").alias("e"), F.count_min_sketch("o_custkey", F.lit(0.01), F.lit(0.9), F.lit(7)).alias("s"))
+    parts = orders.groupBy("o_orderpriority").agg(F.hll_sketch_agg("o_custkey").alias("k")).agg(F.hll_sketch_estimate(F.hll_union_agg("k")).alias("m"))
+    close = lambda c: F.abs(F.col(c) - F.col("e")) <= 0.08 * F.col("e")
+    return whole.crossJoin(parts).select(close("a").alias("hll_close"), close("m").alias("merged_close"), (F.octet_length("s") > 0).alias("sketched"))
+
+
+@add("SELECT TRUE AS only_f, TRUE AS all_f")
+def sample_stratified(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    got = orders.sampleBy("o_orderstatus", {"F": 1.0, "O": 0.0}, seed=3)
+    n = orders.where("o_orderstatus = 'F'").agg(F.count("*").alias("n"))
+    return got.agg((F.count_if(F.col("o_orderstatus") != "F") == 0).alias("only_f"), F.count("*").alias("c")).crossJoin(n).select("only_f", (F.col("c") == F.col("n")).alias("all_f"))
+
+
+@add("SELECT o_orderstatus, count(*) AS n, 2::BIGINT AS uses FROM orders GROUP BY 1")
+def cached(spark, sf):
+    """A result used twice is kept once, and let go after."""
+    held = table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")).persist()
+    try:
+        uses = sum(held.count() > 0 for _ in range(2))
+        return spark.createDataFrame([(r.o_orderstatus, r.n, uses) for r in held.collect()], "o_orderstatus string, n long, uses long")  # a few statuses
+    finally:
+        held.unpersist()
+
+
+@add("SELECT TRUE AS pushed, TRUE AS pruned, TRUE AS generated")
+def plan_checks(spark, sf):
+    """What the physical plan of a filter and an aggregation shows."""
+    df = table(spark, sf, "lineitem").where("l_quantity > 45").groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    df.collect()
+    plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    return spark.createDataFrame([("GreaterThan(l_quantity" in plan, "l_comment" not in plan, "WholeStageCodegen" in plan or "codegen id" in plan)], "pushed boolean, pruned boolean, generated boolean")

@@ -107,16 +107,23 @@ def join_range_bucketed(spark, sf):
     return temporal.range_join(points, ranges, "event_id", "lo", "hi", 40).select("event_id", "range_id")
 
 
-@add(
-    """SELECT c.event_id, p.ts AS bought_at, p.value AS bought FROM (SELECT * FROM events WHERE event_type = 'click') c
+_ASOF = """SELECT c.event_id, p.ts AS bought_at, p.value AS bought FROM (SELECT * FROM events WHERE event_type = 'click') c
     ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) p
     ON c.user_id = p.user_id AND c.ts >= p.ts"""
-)
-def join_asof(spark, sf):
-    events = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
-    bought = events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought_at"), F.col("value").alias("bought"))
-    clicks = events.where("event_type = 'click'").select("event_id", "user_id", "ts")
-    return temporal.asof_join(clicks, bought, "user_id", "ts", "bought_at", ("bought",)).select("event_id", "bought_at", "bought")
+
+
+def _asof(slices):
+    def run(spark, sf):
+        events = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
+        bought = events.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("bought_at"), F.col("value").alias("bought"))
+        clicks = events.where("event_type = 'click'").select("event_id", "user_id", "ts")
+        return temporal.asof_join(clicks, bought, "user_id", "ts", "bought_at", ("bought",), slices).select("event_id", "bought_at", "bought")
+
+    return run
+
+
+QUERIES.add(_ASOF, "join_asof")(_asof(None))
+QUERIES.add(_ASOF, "join_asof_sliced")(_asof("date_trunc('day', _t)"))
 
 
 @add("SELECT r_name, c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")

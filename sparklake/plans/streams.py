@@ -219,6 +219,29 @@ def stream_medallion_sessions(spark, sf):
     return _ntz(tables["gold"].to_df())
 
 
+@add("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_update_counts(spark, sf):
+    """Update mode sends changed counts only; the last of each kind is the count."""
+    e = _events(spark, sf)
+    stream = _stream(spark, e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")).groupBy("event_type").agg(F.count("*").alias("n"))
+    return sinks.collected(stream, "update").groupBy("event_type").agg(F.max("n").alias("n"))
+
+
+@add("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'old' ELSE 'new' END AS version FROM events")
+def stream_static_refresh(spark, sf):
+    """A dimension that is read anew for each batch."""
+    names = VersionedTable.from_df(spark.range(1).select(F.lit("old").alias("version")), scratch_path(spark, "names"))
+    out = VersionedTable.create(spark, scratch_path(spark, "out"), "event_id long, version string")
+    e = _events(spark, sf)
+
+    def write(batch, batch_id):
+        out.append(batch.select("event_id").crossJoin(F.broadcast(names.to_df())), txn=("refresh", batch_id))
+        names.update({"version": "'new'"})
+
+    sinks.each_batch(_stream(spark, e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1")), write, scratch_path(spark, "ck"))
+    return out.to_df()
+
+
 @add()
 def stream_rate(spark, sf):
     stream = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 10).option("numPartitions", 1).load()

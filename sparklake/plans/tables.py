@@ -280,3 +280,12 @@ def table_checkpoint(spark, sf):
         t.append(_customers(spark, sf).where(f"id % 12 = {k}"))
     again = VersionedTable.for_path(spark, t.path)
     return again.to_df().agg(F.lit(again.version).cast("long").alias("version"), F.count("*").alias("n"))
+
+
+@add("SELECT count(*) AS n, TRUE AS fewer FROM customer")
+def table_maintenance(spark, sf):
+    t = _made(spark, sf, "false", clusterBy="id, nation")
+    for k in range(3):
+        t.append(_customers(spark, sf).where(f"id % 3 = {k}"))
+    done = t.maintain()
+    return t.to_df().agg(F.count("*").alias("n"), F.lit(done["filesAfter"] < done["filesBefore"]).alias("fewer"))

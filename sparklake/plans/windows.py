@@ -128,3 +128,13 @@ def partition_counts(spark, sf):
     count = lambda df, name: df.select(F.spark_partition_id().alias("p")).agg(F.count_distinct("p").alias(name))
     found = count(orders.repartition(8), "dealt")
     return found.crossJoin(count(orders.repartition(8).coalesce(3), "merged")).crossJoin(count(orders.repartitionByRange(4, "o_orderkey"), "ranged"))
+
+
+@add(
+    """WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id FROM events WHERE user_id < 20),
+    f AS (SELECT user_id, i, event_id, value AS m FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, e.event_id, 0.3 * e.value + 0.7 * f.m FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+    SELECT event_id, round(m, 4) AS ewm FROM f"""
+)
+def win_exponential(spark, sf):
+    some = _events(spark, sf).where("user_id < 20")
+    return temporal.exponential_mean(some, "user_id", ["ts", "event_id"], "value", 0.3).select("event_id", F.round("ewm", 4).alias("ewm"))

@@ -474,6 +474,17 @@ class VersionedTable:
             rows = rows.coalesce(int(n))
         return self.log.commit(base, [*self.removes(chosen, False), *self.stage(base, rows, data_change=False, checked=False)], "OPTIMIZE", {"zOrderBy": ",".join(z_order_by)}, {"removedFiles": len(chosen)})
 
+    def cluster(self) -> int:
+        """OPTIMIZE along the columns of the property ``clusterBy``, if it is set; else compaction."""
+        keys = self.snapshot().meta["properties"].get("clusterBy", "")
+        return self.optimize(z_order_by=tuple(c.strip() for c in keys.split(",") if c.strip()))
+
+    def maintain(self, retain_hours: float = 168) -> dict[str, int]:
+        """The regular job: cluster or compact, then vacuum."""
+        before = len(self.snapshot().files)
+        self.cluster()
+        return {"filesBefore": before, "filesAfter": len(self.snapshot().files), "vacuumed": len(self.vacuum(retain_hours))}
+
     def vacuum(self, retain_hours: float = 168, dry_run: bool = False, force: bool = False) -> list[str]:
         """Delete data files that no version needs that is younger than the horizon; the files (to be) deleted."""
         if retain_hours < 168 and not force:
