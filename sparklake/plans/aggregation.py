@@ -34,7 +34,7 @@ def agg_group(spark, sf):
     )
 
 
-@add("SELECT count(*) AS all_rows, count(nullif(event_type, 'view')) AS with_kind, count_if(value > 50) AS large FROM events")
+@add("SELECT count(*) AS all_rows, count(nullif(event_type, 'view')) AS with_kind, count_if(value > 50)::BIGINT AS large FROM events")
 def agg_counts(spark, sf):
     return table(spark, sf, "events").agg(F.count("*").alias("all_rows"), F.count(F.nullif("event_type", F.lit("view"))).alias("with_kind"), F.count_if(F.col("value") > 50).alias("large"))
 

@@ -11,9 +11,9 @@ add = QUERIES.add
 
 
 @add(
-    """SELECT p_partkey, lower(p_name) AS lo, upper(p_name) AS up, length(p_name) AS len, trim('  ' || p_brand || ' ') AS tr, ltrim('  x ') AS lt, rtrim('  x ') AS rt, trim('**' || p_brand || '*', '*') AS bt,
+    """SELECT p_partkey, lower(p_name) AS lo, upper(p_name) AS up, length(p_name)::INTEGER AS len, trim('  ' || p_brand || ' ') AS tr, ltrim('  x ') AS lt, rtrim('  x ') AS rt, trim('**' || p_brand || '*', '*') AS bt,
     lpad(p_partkey::VARCHAR, 6, '0') AS lp, rpad(p_brand, 12, '.') AS rp, substr(p_type, 2, 4) AS sub, split_part(p_type, ' ', 1) AS before, split_part(p_type, ' ', 2) AS part2, p_brand || '-' || p_size AS con,
-    concat_ws('|', p_brand, NULL, p_type) AS ws, len(string_split(p_type, ' ')) AS pieces, regexp_replace(p_name, '[aeiou]', '', 'g') AS novowel, regexp_extract(p_brand, '(\\d+)', 1) AS digits,
+    concat_ws('|', p_brand, NULL, p_type) AS ws, len(string_split(p_type, ' '))::INTEGER AS pieces, regexp_replace(p_name, '[aeiou]', '', 'g') AS novowel, regexp_extract(p_brand, '(\\d+)', 1) AS digits,
     len(regexp_extract_all(p_name, 'a'))::INTEGER AS n_a, translate(p_brand, 'Bd', 'bD') AS tl, printf('%05d-%s', p_size, p_brand) AS fmt, repeat('ab', 3) AS rpt, reverse(p_brand) AS rev,
     contains(p_type, 'A') AS has, ends_with(p_type, 'L') AS ends FROM part"""
 )

@@ -32,8 +32,8 @@ _BAD_SEG = "coalesce(seg NOT IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE'), FALSE)"
 
 
 @add(
-    f"""SELECT 'positive' AS name, count_if(c_acctbal <= 0) AS violations, count_if(c_acctbal <= 0) = 0 AS passed FROM {_DQ} UNION ALL
-    SELECT 'known_segment', count_if({_BAD_SEG}), count_if({_BAD_SEG}) <= 0.9 * count(*) FROM {_DQ} UNION ALL SELECT 'has_segment', count_if(seg IS NULL), count_if(seg IS NULL) = 0 FROM {_DQ}"""
+    f"""SELECT 'positive' AS name, count_if(c_acctbal <= 0)::BIGINT AS violations, count_if(c_acctbal <= 0) = 0 AS passed FROM {_DQ} UNION ALL
+    SELECT 'known_segment', count_if({_BAD_SEG})::BIGINT, count_if({_BAD_SEG}) <= 0.9 * count(*) FROM {_DQ} UNION ALL SELECT 'has_segment', count_if(seg IS NULL)::BIGINT, count_if(seg IS NULL) = 0 FROM {_DQ}"""
 )
 def dq_report(spark, sf):
     report = dq.run(_checked(spark, sf), RULES)

@@ -159,7 +159,7 @@ def stream_replay_idempotent(spark, sf):
     return t.to_df().agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
 
 
-@add("SELECT 'good' AS kind, count_if(event_id % 9 <> 0) AS n FROM events UNION ALL SELECT 'dead', count_if(event_id % 9 = 0) FROM events")
+@add("SELECT 'good' AS kind, count_if(event_id % 9 <> 0)::BIGINT AS n FROM events UNION ALL SELECT 'dead', count_if(event_id % 9 = 0)::BIGINT FROM events")
 def stream_dead_letter(spark, sf):
     line = F.when(F.col("event_id") % 9 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("event_id", "user_id")))
     path = _landed(spark, table(spark, sf, "events").select(line.alias("value")), kind="text")

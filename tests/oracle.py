@@ -42,3 +42,15 @@ def duckdb_rows(con, sql):
     columns = sorted(found.columns)
     at = [found.columns.index(c) for c in columns]
     return columns, Counter(repr([plain(r[i]) for i in at]) for r in found.fetchall())
+
+
+_TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
+def spark_types(df):
+    return {c: _TYPES.get(t, t) for c, t in df.dtypes}
+
+
+def duckdb_types(con, sql):
+    found = con.sql(sql)
+    return dict(zip(found.columns, map(str, found.types), strict=True))

@@ -16,7 +16,9 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_oracle(spark, con, name):
-    assert oracle.spark_rows(QUERIES[name](spark, SF)) == oracle.duckdb_rows(con, SQL[name])
+    df = QUERIES[name](spark, SF)
+    assert oracle.spark_types(df) == oracle.duckdb_types(con, SQL[name])
+    assert oracle.spark_rows(df) == oracle.duckdb_rows(con, SQL[name])
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
