@@ -34,7 +34,7 @@ PERIOD = 13
 #: Every difference modulo 13 occurs between two of these.
 COVER = (0, 1, 3, 9)
 #: Entries held by a task before it settles and sends them.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Settled entries sent along with one bucket.
 KNOWN = 1 << 13
 #: Stands for a null doc_id: such rows come first in the order (an id of this value reads as null).
