@@ -26,8 +26,9 @@ TYPES = 1 << 16
 #: Labelled rows of each language that a model is fitted on, at most.
 SAMPLE_ROWS = 400
 SLICES = 64
-#: Bytes of each sampled text that a model is fitted on, at most; predictions always use whole texts.
-SAMPLE_BYTES = 1 << 14
+#: Characters of each sampled text that a model is fitted on, at most, so the driver holds under 2 MB for each language;
+#: predictions always use whole texts.
+SAMPLE_CHARS = 1 << 12
 ROUNDS, FLOOR = 8, 1e-6
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -130,7 +131,7 @@ def sample(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", orde
     for group in (["lang", F.pmod(key, F.lit(SLICES))], ["lang"]):
         ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("n") <= rows)
     picked = ranked.select("id").distinct()
-    texts = usable.select(F.col(order_col).alias("id"), F.col(lang_col).alias("lang"), F.left(text_col, F.lit(SAMPLE_BYTES)).alias("text"))
+    texts = usable.select(F.col(order_col).alias("id"), F.col(lang_col).alias("lang"), F.left(text_col, F.lit(SAMPLE_CHARS)).alias("text"))
     found = texts.join(F.broadcast(picked), "id").select("lang", "text", "id")
     return [(r.lang, r.text) for r in sorted(found.collect(), key=lambda r: (r.lang, r.id, r.text))]
 
