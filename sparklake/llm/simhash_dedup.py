@@ -28,7 +28,7 @@ BITS, BUDGET, BLOCK = 64, 3, 16
 #: Fingerprints below one node that a single task walks.
 GROUP = 1 << 16
 #: Node pairs held at once by a walk.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 17
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -71,8 +71,9 @@ def _walk(x: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int) -> Iterator[
     while stack:
         depth, (a, b, c, d, diff) = stack.pop()
         small = ((b - a) * (d - c) <= 32) | (depth == BITS)
-        for at in range(0, int(small.sum()), 1 << 15):
-            pick = np.flatnonzero(small)[at : at + (1 << 15)]
+        leaves = np.flatnonzero(small)
+        for at in range(0, len(leaves), FRONTIER // 16):
+            pick = leaves[at : at + FRONTIER // 16]
             width, size = (d - c)[pick], ((b - a) * (d - c))[pick]
             which = np.repeat(np.arange(len(pick)), size)
             step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -145,13 +146,11 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
             hi = np.append(lo[1:], len(x))
             # both sub-nodes of a split pair: members of s1 come first, as x is sorted
             extra, s1, s2 = cols["extra"][order][lo].astype(np.int64), keys[2][lo], keys[3][lo]
-            top = np.where(extra > 0, (x << np.uint64(BLOCK))[lo] >> (np.uint64(64) - np.maximum(extra, 1).astype(np.uint64)), 0).astype(np.int64)
             sub = (x << np.uint64(BLOCK)) >> (np.uint64(64) - np.maximum(np.repeat(extra, hi - lo), 1).astype(np.uint64))
             in_first = np.concatenate([[0], np.cumsum((np.repeat(extra, hi - lo) == 0) | (sub.astype(np.int64) == np.repeat(s1, hi - lo)))])
             mid = lo + in_first[hi] - in_first[lo]
             cross = s1 != s2
             mid = np.where(cross, mid, hi)
-            del top
             label = np.arange(len(x))
             for e in np.unique(extra):
                 at = extra == e
