@@ -12,10 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 #: Bytes of text handled at once; a single longer text is handled alone.
 CHUNK_BYTES = 1 << 19
+BATCH_ROWS = 1000
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -23,6 +25,15 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_ALNUM = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends texts to Python in batches of at most ``BATCH_ROWS`` rows from now on, as whole batches are
+    held by the JVM and by Python at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the splitmix64 finaliser)."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

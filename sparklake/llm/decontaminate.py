@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklake.llm._text import NOT_ALNUM, Rolling, Words, grams, pieces
+from sparklake.llm._text import NOT_ALNUM, Rolling, Words, grams, pieces, small_batches
 
 SHINGLE, THRESHOLD = 5, 0.8
 BITS, BLOCKS, RADIUS = 64, 8, 15
@@ -168,7 +168,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
                         doc, item, like, far, at = zip(*got, strict=True)
                         yield pa.record_batch([part.column("id").take(pa.array(doc)), pa.array([items.ids[i] for i in item], pa.int64()), pa.array(like, pa.float64()), pa.array(far, pa.int32()), pa.array(at, pa.int64())], ["id", "item_id", "similarity", "hamming", "first_word"])
 
-        part = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, item_id long, similarity double, hamming int, first_word long")
+        part = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, item_id long, similarity double, hamming int, first_word long")
         found = part if found is None else found.union(part)
     return found.withColumnRenamed("id", id_col)
 
@@ -186,5 +186,5 @@ def clean(docs: DataFrame, bench: DataFrame, id_col: str = "item_id", text_col:
                     held[[d for d, *_ in _matches(words, items, threshold)]] = False
                     yield part.filter(pa.array(held))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs

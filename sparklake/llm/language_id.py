@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparklake.llm._text import Words, pieces
+from sparklake.llm._text import Words, pieces, small_batches
 
 #: Hashed n-gram types of a model.
 TYPES = 1 << 16
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 rest = [part.column(c) for c in (id_col, *keep)]
                 yield pa.record_batch([*rest, pa.array(pred, pa.string()), pa.array(score), pa.array(mixture, pa.map_(pa.string(), pa.float64()))], [id_col, *keep, "lang_pred", "score", "mixture"])
 
-    wanted = docs.select(id_col, text_col, *(c for c in keep if c != text_col))
+    wanted = small_batches(docs).select(id_col, text_col, *(c for c in keep if c != text_col))
     types = dict(wanted.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in (id_col, *keep)) + ", lang_pred string, score double, mixture map<string, double>"
     return wanted.mapInArrow(run, schema)

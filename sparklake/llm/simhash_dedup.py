@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklake.llm._text import pieces
+from sparklake.llm._text import pieces, small_batches
 from sparklake.session import materialise
 
 BITS, BUDGET, BLOCK = 64, 3, 16
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fp = np.array([simhash(x, shingle) for x in part.column("text").cast(pa.binary()).to_pylist()], np.uint64)
                 yield pa.record_batch([part.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long").withColumnRenamed("id", id_col)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long").withColumnRenamed("id", id_col)
 
 
 def _walk(x: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

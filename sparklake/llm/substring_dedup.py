@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklake.llm._text import Rolling, Words, grams, pack, pieces, unpack
+from sparklake.llm._text import Rolling, Words, grams, pack, pieces, small_batches, unpack
 
 WINDOW = 20
 PERIOD = 13
@@ -226,7 +226,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError(f"window must be at least {PERIOD + 1} words")
     spark = docs.sparkSession
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
+    docs = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
     anchors = repeated_anchors(docs.select("k", "text"), window, buckets)
     late = later_windows(docs, anchors, window, buckets).groupBy("k").agg(F.collect_list("pos").alias("late"))
 

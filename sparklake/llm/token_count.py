@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklake.llm._text import pieces
+from sparklake.llm._text import pieces, small_batches
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Marks the start of a pre-token, as the vocabulary's pieces do.
@@ -102,5 +102,5 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary | None = None, id_col:
                 total = np.array([sum(map(known.__getitem__, words)) for words in texts], np.int64)
                 yield pa.record_batch([part.column("id"), pa.array([len(w) for w in texts], pa.int64()), pa.array(total)], ["id", "n_words", "n_tokens"])
 
-    wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    wanted = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return wanted.mapInArrow(run, f"id {dict(wanted.dtypes)['id']}, n_words long, n_tokens long").withColumnRenamed("id", id_col)

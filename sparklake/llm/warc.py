@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklake.llm._text import pieces
+from sparklake.llm._text import pieces, small_batches
 
 #: The fields of both ARC versions, in order.
 ARC_FIELDS = {
@@ -187,7 +187,7 @@ def arc_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                     records.append((_clean(url), "192.0.2.1", "20240101000000", "text/html", http + body))
                 yield pa.record_batch([pa.array([name]), pa.array([build_arc(name, 1 + k % 2, records)], pa.binary())], ["name", "content"])
 
-    wanted = pages.select(F.col(id_col).cast("long").alias("row"), F.col(url_col).alias("url"), F.col(payload_col).cast("binary").alias("payload"))
+    wanted = small_batches(pages).select(F.col(id_col).cast("long").alias("row"), F.col(url_col).alias("url"), F.col(payload_col).cast("binary").alias("payload"))
     return wanted.mapInArrow(run, "name string, content binary")
 
 
