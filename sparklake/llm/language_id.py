@@ -26,9 +26,8 @@ TYPES = 1 << 16
 #: Labelled rows of each language that a model is fitted on, at most.
 SAMPLE_ROWS = 400
 SLICES = 64
-#: Characters of each sampled text that a model is fitted on, at most, so the driver holds under 2 MB for each language;
-#: predictions always use whole texts.
-SAMPLE_CHARS = 1 << 12
+#: Languages whose counts a task holds at once.
+HELD_LANGS = 64
 ROUNDS, FLOOR = 8, 1e-6
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -46,18 +45,27 @@ def _gram_types(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return types, np.concatenate([[0], np.cumsum(words.end - words.start)])
 
 
+def _count(texts: pa.Array) -> np.ndarray:
+    return np.bincount(_gram_types(Words(pc.utf8_lower(texts)))[0], minlength=TYPES)
+
+
 class Model:
     def __init__(self, langs: list[str], log_p: np.ndarray):
         self.langs, self.log_p = langs, log_p
 
     @classmethod
     def fit(cls, rows: list[tuple[str, str]]) -> Model:
-        """rows: (lang, text). Add-half smoothing over all types."""
+        """rows: (lang, text)."""
         langs = sorted({lang for lang, _ in rows})
+        return cls.of_counts({lang: _count(pa.array([text for x, text in rows if x == lang], pa.string())) for lang in langs})
+
+    @classmethod
+    def of_counts(cls, found: dict[str, np.ndarray]) -> Model:
+        """found: the counts of all types by language. Add-half smoothing."""
+        langs = sorted(found)
         counts = np.full((len(langs), TYPES), 0.5)
         for i, lang in enumerate(langs):
-            texts = pc.utf8_lower(pa.array([text for x, text in rows if x == lang], pa.string()))
-            counts[i] += np.bincount(_gram_types(Words(texts))[0], minlength=TYPES)
+            counts[i] += found[lang]
         return cls(langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
 
     def word_scores(self, words: Words) -> np.ndarray:
@@ -121,8 +129,8 @@ def infer(scores: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return pi, best, np.clip(pi[at, best] * sure, 0, 1)
 
 
-def sample(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled texts with a letter for each language: those whose hashed order comes first, so reruns agree."""
+def sample(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(lang, text) of at most ``rows`` labelled texts with a letter for each language, whole: those whose hashed order comes first, so reruns agree."""
     key = F.xxhash64(F.lit(7), "id")
     order = (key, "id")
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
@@ -131,9 +139,36 @@ def sample(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", orde
     for group in (["lang", F.pmod(key, F.lit(SLICES))], ["lang"]):
         ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("n") <= rows)
     picked = ranked.select("id").distinct()
-    texts = usable.select(F.col(order_col).alias("id"), F.col(lang_col).alias("lang"), F.left(text_col, F.lit(SAMPLE_CHARS)).alias("text"))
-    found = texts.join(F.broadcast(picked), "id").select("lang", "text", "id")
-    return [(r.lang, r.text) for r in sorted(found.collect(), key=lambda r: (r.lang, r.id, r.text))]
+    texts = usable.select(F.col(order_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(picked), "id").select("lang", "text")
+
+
+def count_types(texts: DataFrame) -> dict[str, np.ndarray]:
+    """The counts of all types by language of (lang, text), taken on the executors: the driver gets sums, no texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for lang, counts in held.items():
+                some = np.flatnonzero(counts)
+                yield pa.record_batch([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(counts[some].astype(np.int64))], ["lang", "type", "n"])
+            held.clear()
+
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                langs = part.column("lang")
+                for lang in pc.unique(langs).to_pylist():
+                    if lang not in held and len(held) >= HELD_LANGS:
+                        yield from send()
+                    held[lang] = held.get(lang, 0) + _count(part.column("text").filter(pc.equal(langs, lang)))
+        yield from send()
+
+    sums = small_batches(texts).select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "lang string, type int, n long").groupBy("lang", "type").agg(F.sum("n").alias("n"))
+    found: dict[str, np.ndarray] = {}
+    for lang, at, n in zip(*(c.to_pylist() for c in sums.toArrow().columns), strict=True):
+        found.setdefault(lang, np.zeros(TYPES, np.int64))[at] = n
+    return found
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -172,4 +207,4 @@ def held_out(id_col: str = "doc_id"):
 
 def fit(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> Model:
     """A model of the rows that are not held out; null ids are held out."""
-    return Model.fit(sample(docs.where(~held_out(id_col)), lang_col, text_col, id_col))
+    return Model.of_counts(count_types(sample(docs.where(~held_out(id_col)), lang_col, text_col, id_col)))
