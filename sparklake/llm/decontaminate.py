@@ -1,17 +1,17 @@
-"""Benchmark decontamination by SimHash windows.
-
-For every benchmark item of m words, windows of m words slide over the documents. A window's SimHash fingerprint is
-taken over its shingles of five words; an index of the items' fingerprints in blocks (each block is entered with every
-pattern at most ``RADIUS // BLOCKS`` bits away) is certain to find all items within ``RADIUS`` bits. Those candidates
-are verified by exact weighted shingle similarity: sum of minima over sum of maxima of the shingles' counts, at least
-``threshold``. A window without any shingle of the item has similarity zero, so fingerprints are only taken of windows
-over a position whose shingle some item of that size has.
+"""Benchmark decontamination by windows of words.
+
+For every benchmark item of m words, windows of m words slide over the documents. Their similarity is that of their
+shingles of five words, weighted: sum of minima over sum of maxima of the shingles' counts. A window of w shingles that
+reaches ``threshold`` t shares at least 2 * t * w / (1 + t) of them with the item, so all windows with that many
+positions whose shingle the item has are verified, and only those: none is missed. The best window of each document and
+item is reported with the distance of the two SimHash fingerprints, which decides nothing.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -66,19 +66,24 @@ class Items:
             prints.append(_simhash(own, np.zeros(1, np.int64), len(own))[0])
         self.prints = np.array(prints, np.uint64)
         self.sizes = np.array(self.size, np.int64)
-        # each shingle with the sizes of the items that have it
-        pairs = sorted({(s, n) for bag, n in zip(self.bags, self.size, strict=True) for s in bag})
+        # each shingle with the items that have it
+        pairs = sorted((s, k) for k, bag in enumerate(self.bags) for s in bag)
         self.shingle = np.array([s for s, _ in pairs], np.uint64)
-        self.of_size = np.array([n for _, n in pairs], np.int64)
+        self.of_item = np.array([k for _, k in pairs], np.int64)
+
+    @cached_property
+    def blocks(self) -> list[dict[int, np.ndarray]]:
+        """The multi-index of the fingerprints, for ``within``."""
         width = BITS // BLOCKS
         near = [sum(1 << b for b in flip) for n in range(RADIUS // BLOCKS + 1) for flip in combinations(range(width), n)]
-        self.blocks: list[dict[int, np.ndarray]] = []
+        blocks: list[dict[int, np.ndarray]] = []
         for b in range(BLOCKS):
             table: dict[int, list[int]] = {}
             for k, fp in enumerate(self.prints.tolist()):
                 for flip in near:
                     table.setdefault((fp >> (b * width) & ((1 << width) - 1)) ^ flip, []).append(k)
-            self.blocks.append({key: np.array(v) for key, v in table.items()})
+            blocks.append({key: np.array(v) for key, v in table.items()})
+        return blocks
 
     def within(self, prints: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         """(indexes of prints, item, distances) of all items of ``size`` words within RADIUS bits."""
@@ -112,30 +117,33 @@ def _matches(words: Words, items: Items, threshold: float) -> Iterator[tuple[int
     hits = hits[hits + SHINGLE <= words.first[doc_of[hits] + 1]]
     lo, hi = (np.searchsorted(items.shingle, shingles[hits], side=s) for s in ("left", "right"))
     which = np.repeat(np.arange(len(hits)), hi - lo)
-    sizes = items.of_size[np.repeat(lo, hi - lo) + np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
-    for size in np.unique(sizes):
-        place = hits[which[sizes == size]]
-        doc = doc_of[place]
+    item_of = items.of_item[np.repeat(lo, hi - lo) + np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
+    order = np.argsort(item_of, kind="stable")
+    places, edges = hits[which[order]], np.append(np.flatnonzero(np.diff(item_of[order], prepend=-1)), len(order))
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        item, place = int(item_of[order[a]]), places[a:z]
+        size = items.size[item]
+        width = size - SHINGLE + 1
+        need = 2 * threshold * width / (1 + threshold) - 1e-9
+        if z - a < need:
+            continue
+        # how many of the item's positions each window holds
         mark = np.zeros(n + 1, np.int32)
-        np.add.at(mark, np.maximum(place - (size - SHINGLE), words.first[doc]), 1)
+        np.add.at(mark, np.maximum(place - width + 1, words.first[doc_of[place]]), 1)
         np.add.at(mark, place + 1, -1)
-        starts = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+        starts = np.flatnonzero(np.cumsum(mark[:-1]) >= need)
         starts = starts[starts + size <= words.first[doc_of[starts] + 1]]
-        if not len(starts):
-            continue
-        width = int(size) - SHINGLE + 1
-        prints = _simhash(shingles, starts, width)
-        for near, item, far in items.within(prints, int(size)):
-            bag, best = items.bags[item], {}
-            for s, distance in zip(starts[near].tolist(), far.tolist(), strict=True):
-                own = Counter(shingles[s : s + width].tolist())
-                both = sum(min(c, own[x]) for x, c in bag.items() if x in own)
-                like = both / (2 * width - both)
-                d = int(doc_of[s])
-                if like >= threshold and (d not in best or like > best[d][0]):
-                    best[d] = (like, distance, s - int(words.first[d]))
-            for d, (like, distance, s) in best.items():
-                yield d, item, like, distance, s
+        bag, best = items.bags[item], {}
+        for s in starts.tolist():
+            own = Counter(shingles[s : s + width].tolist())
+            both = sum(min(c, own[x]) for x, c in bag.items() if x in own)
+            like = both / (2 * width - both)
+            d = int(doc_of[s])
+            if like >= threshold and (d not in best or like > best[d][0]):
+                best[d] = (like, s)
+        for d, (like, s) in best.items():
+            far = int(_simhash(shingles, np.array([s]), width)[0] ^ items.prints[item]).bit_count()
+            yield d, item, like, far, s - int(words.first[d])
 
 
 def _passes(bench: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
