@@ -24,8 +24,10 @@ from sparklake.llm._text import NOT_ALNUM, Rolling, Words, grams, pieces, small_
 
 SHINGLE, THRESHOLD = 5, 0.8
 BITS, BLOCKS, RADIUS = 64, 8, 15
-#: Shorter items are no evidence of a leak.
-MIN_WORDS = 8
+#: Shorter items are matched by their whole sequence of words.
+MIN_WORDS = SHINGLE
+#: Letters of scripts written without spaces: each is a word.
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\x{30FC}])"
 #: Bytes of benchmark text that one pass holds on the driver and each executor; more items make more passes.
 PASS_BYTES = 8 << 20
 _A = Rolling(21)
@@ -50,13 +52,22 @@ def _simhash(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _words(texts: pa.Array) -> Words:
+    """Runs of letters, digits and non-ASCII characters, lower-cased; letters of unspaced scripts one by one."""
+    texts = pc.utf8_lower(texts)
+    if pc.any(pc.match_substring_regex(texts, UNSPACED)).as_py():
+        texts = pc.replace_substring_regex(texts, UNSPACED, r" \1 ")
+    return Words(texts, NOT_ALNUM)
+
+
 class Items:
     """Benchmark items with their shingles and the multi-index of their fingerprints."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        words = Words(pc.utf8_lower(pa.array([text for _, text in rows], pa.string())), NOT_ALNUM)
+        words = _words(pa.array([text for _, text in rows], pa.string()))
         counts = words.counts()
-        shingles = grams(words.hashes(_A), SHINGLE, _A)
+        hashes = words.hashes(_A)
+        shingles = grams(hashes, SHINGLE, _A)
         self.ids, self.size, self.bags, prints = [], [], [], []
         for k in np.flatnonzero(counts >= MIN_WORDS):
             own = shingles[words.first[k] : words.first[k + 1] - SHINGLE + 1]
@@ -66,6 +77,12 @@ class Items:
             prints.append(_simhash(own, np.zeros(1, np.int64), len(own))[0])
         self.prints = np.array(prints, np.uint64)
         self.sizes = np.array(self.size, np.int64)
+        # items without a shingle: by the number of words, the hash of all of them with the items' places in ids
+        self.whole: dict[int, dict[int, list[int]]] = {}
+        for k in np.flatnonzero((counts > 0) & (counts < MIN_WORDS)):
+            own = _A.slices(hashes, words.first[k : k + 1], words.first[k + 1 : k + 2])
+            self.whole.setdefault(int(counts[k]), {}).setdefault(int(own[0]), []).append(len(self.ids))
+            self.ids.append(rows[k][0])
         # each shingle with the items that have it
         pairs = sorted((s, k) for k, bag in enumerate(self.bags) for s in bag)
         self.shingle = np.array([s for s, _ in pairs], np.uint64)
@@ -106,14 +123,22 @@ class Items:
 def _matches(words: Words, items: Items, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(document, item, similarity, distance, first word): the best window of each document and item."""
     n = len(words)
+    hashes, doc_of = words.hashes(_A), words.doc_of()
+    for size, table in items.whole.items():
+        own = grams(hashes, size, _A)
+        seen = np.flatnonzero(np.isin(own, np.fromiter(table, np.uint64, len(table))))
+        seen = seen[seen + size <= words.first[doc_of[seen] + 1]]
+        _, at = np.unique(np.stack([doc_of[seen].astype(np.uint64), own[seen]]), axis=1, return_index=True)
+        for s in seen[at].tolist():
+            for item in table[int(own[s])]:
+                yield int(doc_of[s]), item, 1.0, 0, s - int(words.first[doc_of[s]])
     if n < MIN_WORDS or not len(items.prints):
         return
-    shingles = grams(words.hashes(_A), SHINGLE, _A)
+    shingles = grams(hashes, SHINGLE, _A)
     at = np.searchsorted(items.shingle, shingles)
     hits = np.flatnonzero(items.shingle[np.minimum(at, len(items.shingle) - 1)] == shingles)
     if not len(hits):
         return
-    doc_of = words.doc_of()
     hits = hits[hits + SHINGLE <= words.first[doc_of[hits] + 1]]
     lo, hi = (np.searchsorted(items.shingle, shingles[hits], side=s) for s in ("left", "right"))
     which = np.repeat(np.arange(len(hits)), hi - lo)
@@ -159,8 +184,9 @@ def _passes(bench: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
 def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, item_id, similarity, hamming, first_word) of each document and benchmark item that it holds.
 
-    Words are runs of letters, digits and non-ASCII characters, lower-cased. Null and empty texts on either side, and
-    items of fewer than MIN_WORDS words, match nothing. Documents are compared whole; each row of a repeated document gets its own
+    Words are runs of letters, digits and non-ASCII characters, lower-cased; letters of scripts written without spaces are
+    words of their own. Items of fewer than MIN_WORDS words match where all their words follow each other, with similarity
+    1 and distance 0. Null and empty texts on either side match nothing. Documents are compared whole; each row of a repeated document gets its own
     results, with the best window for each item. A null id is returned as null. Empty tables give no rows.
     """
     found = None
@@ -170,7 +196,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in pieces(batch, "text"):
-                    words = Words(pc.utf8_lower(part.column("text")), NOT_ALNUM)
+                    words = _words(part.column("text"))
                     got = list(_matches(words, items, threshold))
                     if got:
                         doc, item, like, far, at = zip(*got, strict=True)
@@ -189,7 +215,7 @@ def clean(docs: DataFrame, bench: DataFrame, id_col: str = "item_id", text_col:
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in pieces(batch, text_col):
-                    words = Words(pc.utf8_lower(part.column(text_col)), NOT_ALNUM)
+                    words = _words(part.column(text_col))
                     held = np.ones(len(part), bool)
                     held[[d for d, *_ in _matches(words, items, threshold)]] = False
                     yield part.filter(pa.array(held))

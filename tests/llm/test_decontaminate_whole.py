@@ -47,3 +47,25 @@ def test_edits_in_the_middle_are_found(spark):
     assert {(3 * k + j, k) for k in range(150) for j in range(3)} <= set(got)
     # the case that was lost: similar windows whose fingerprints differ in more than 15 bits
     assert max(x.hamming for x in got.values()) > decontaminate.RADIUS
+
+
+def test_short_and_unspaced_items(spark):
+    items = [(1, "zq1 zq2 zq3 zq4 zq5"), (2, "ZQ6, zq7 zq8 zq9 zq10 zq11 zq12"), (3, "lone1"), (4, "pair1 pair2"), (5, "北京是中华人民共和国的首都"), (6, "東京タワーは高い"), (7, "四字成语"), (8, "!?"), (9, "lone1")]
+    rows = [
+        (1, "a zq1 zq2 zq3 zq4 zq5 b"),
+        (2, "a zq6 zq7 zq8 zq9 zq10 zq11 zq12"),
+        (3, "lone1 b lone1. pair1, PAIR2"),
+        (4, "pair1 x pair2 lone12 zq1 zq2 zq3 zq4"),
+        (5, "我们都知道北京是中华人民共和国的首都，对吗"),
+        (6, "昨日東京タワーは高いと思った"),
+        (7, "一个四字成语吧 pair1"),
+        (8, "pair2 四字成 语北京是中华"),
+        (9, None),
+        (10, ""),
+    ]
+    df, bench = docs(spark, [(i, t, "en", "s", 0) for i, t in rows]), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((x.doc_id, x.item_id, x.similarity) for x in decontaminate.contaminated(df, bench).collect())
+    # words are letters where no spaces are written, so the fourth letter of document 8 still follows the third
+    want = [(1, 1), (2, 2), (3, 3), (3, 4), (3, 9), (5, 5), (6, 6), (7, 7), (8, 7)]
+    assert got == [(*x, 1.0) for x in want]
+    assert {x.doc_id for x in decontaminate.clean(df, bench).collect()} == {4, 9, 10}
