@@ -27,11 +27,13 @@ def get_session(app: str = "sparklake", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a folder of this machine only where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a local master gets a folder of this machine
+    (tests); a cluster is refused, as its executors would not see each other's files."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        current = spark.sparkContext.getCheckpointDir()
-        path = current or tempfile.mkdtemp(prefix="sparklake-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="sparklake-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -47,3 +49,14 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of materialised tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm, root = spark._jvm, shared_dir(spark).split(":", 1)[-1].rstrip("/") + "/"
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in (x for x in folders if root in x):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
