@@ -1,8 +1,8 @@
-"""Word positions and rolling hashes of whole Arrow string columns, as numpy arrays.
+"""Words of whole Arrow string columns and hashes of runs of words, as numpy arrays.
 
 Texts are handled as UTF-8 bytes: the separators are ASCII, so words cut at the byte
-level are the words of the text. Hash tables derive from fixed seeds, so every
-executor computes the same values.
+level are the words of the text. Hashes have fixed seeds, so every executor computes the
+same values.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 
 U64 = np.uint64
@@ -34,6 +35,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The bytes of the tables that df reads, as Spark knows them; sources of unknown size count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the splitmix64 finaliser)."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -41,33 +49,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-class Rolling:
-    """Polynomial prefix hashes modulo 2**64: the hash of any slice costs one subtraction and one product."""
-
-    def __init__(self, seed: int):
-        with np.errstate(over="ignore"):
-            values = mix(np.arange(1, 260, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
-        self.bytes = values[:256]
-        self.base = int(values[256]) | 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) <= n:
-            size = max(n + 1, 2 * len(self.up))
-            for name, x in (("up", self.base), ("down", self.inverse)):
-                full = np.full(size, x, U64)
-                full[0] = 1
-                setattr(self, name, np.multiply.accumulate(full))
-
-    def slices(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The hashes of values[starts:ends]."""
-        self._powers(len(values))
-        total = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * self.up[: len(values)], out=total[1:])
-        return mix((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(U64))
-
-
 class Words:
     """The words of some texts: byte positions ``start`` and ``end``; document d has words first[d]:first[d + 1]."""
 
@@ -89,6 +70,7 @@ class Words:
         self.start = np.flatnonzero(head)
         self.end = np.flatnonzero(tail) + 1
         self.first = np.searchsorted(self.start, self.offsets)
+        self._coded: tuple[np.ndarray, list[bytes]] | None = None
 
     def __len__(self) -> int:
         return len(self.start)
@@ -100,15 +82,31 @@ class Words:
         """Each word's document."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
-    def hashes(self, rolling: Rolling) -> np.ndarray:
-        return rolling.slices(rolling.bytes[self.data], self.start, self.end)
-
-
-def grams(word_hashes: np.ndarray, k: int, rolling: Rolling) -> np.ndarray:
-    """The hash of words i:i + k for every i; the caller leaves out those that cross documents."""
-    n = max(0, len(word_hashes) - k + 1)
-    at = np.arange(n)
-    return rolling.slices(word_hashes, at, at + k)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """The XXH64 of each word's bytes; each distinct word is hashed once."""
+        if self._coded is None:
+            size = self.end - self.start
+            edges = np.concatenate([[0], np.cumsum(size)])
+            inside = np.zeros(len(self.data) + 1, np.int8)
+            inside[self.start] += 1
+            inside[self.end] -= 1
+            close = self.data[np.cumsum(inside[:-1], dtype=np.int8) > 0]
+            coded = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(close))]).dictionary_encode()
+            self._coded = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        which, distinct = self._coded
+        return np.array([xxhash.xxh64_intdigest(w, seed) for w in distinct], U64)[which]
+
+
+def grams(word_hashes: np.ndarray, k: int, at: np.ndarray | None = None) -> np.ndarray:
+    """The hash of words i:i + k for every i of ``at``, or for all i; the caller leaves out those that cross documents.
+
+    The words' hashes are scrambled in one after the other, so no structure of the words cancels out.
+    """
+    n = max(0, len(word_hashes) - k + 1) if at is None else len(at)
+    out = np.full(n, 0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF, U64)
+    for j in range(k):
+        out = mix(out ^ (word_hashes[j : j + n] if at is None else word_hashes[at + j]))
+    return out
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

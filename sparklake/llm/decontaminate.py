@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklake.llm._text import NOT_ALNUM, Rolling, Words, grams, pieces, small_batches
+from sparklake.llm._text import NOT_ALNUM, Words, grams, pieces, small_batches
 
 SHINGLE, THRESHOLD = 5, 0.8
 BITS, BLOCKS, RADIUS = 64, 8, 15
@@ -30,7 +30,6 @@ MIN_WORDS = SHINGLE
 UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\x{30FC}])"
 #: Bytes of benchmark text that one pass holds on the driver and each executor; more items make more passes.
 PASS_BYTES = 8 << 20
-_A = Rolling(21)
 
 
 def _simhash(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -66,8 +65,8 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         words = _words(pa.array([text for _, text in rows], pa.string()))
         counts = words.counts()
-        hashes = words.hashes(_A)
-        shingles = grams(hashes, SHINGLE, _A)
+        hashes = words.hashes()
+        shingles = grams(hashes, SHINGLE)
         self.ids, self.size, self.bags, prints = [], [], [], []
         for k in np.flatnonzero(counts >= MIN_WORDS):
             own = shingles[words.first[k] : words.first[k + 1] - SHINGLE + 1]
@@ -80,7 +79,7 @@ class Items:
         # items without a shingle: by the number of words, the hash of all of them with the items' places in ids
         self.whole: dict[int, dict[int, list[int]]] = {}
         for k in np.flatnonzero((counts > 0) & (counts < MIN_WORDS)):
-            own = _A.slices(hashes, words.first[k : k + 1], words.first[k + 1 : k + 2])
+            own = grams(hashes, int(counts[k]), words.first[k : k + 1])
             self.whole.setdefault(int(counts[k]), {}).setdefault(int(own[0]), []).append(len(self.ids))
             self.ids.append(rows[k][0])
         # each shingle with the items that have it
@@ -123,9 +122,9 @@ class Items:
 def _matches(words: Words, items: Items, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(document, item, similarity, distance, first word): the best window of each document and item."""
     n = len(words)
-    hashes, doc_of = words.hashes(_A), words.doc_of()
+    hashes, doc_of = words.hashes(), words.doc_of()
     for size, table in items.whole.items():
-        own = grams(hashes, size, _A)
+        own = grams(hashes, size)
         seen = np.flatnonzero(np.isin(own, np.fromiter(table, np.uint64, len(table))))
         seen = seen[seen + size <= words.first[doc_of[seen] + 1]]
         _, at = np.unique(np.stack([doc_of[seen].astype(np.uint64), own[seen]]), axis=1, return_index=True)
@@ -134,7 +133,7 @@ def _matches(words: Words, items: Items, threshold: float) -> Iterator[tuple[int
                 yield int(doc_of[s]), item, 1.0, 0, s - int(words.first[doc_of[s]])
     if n < MIN_WORDS or not len(items.prints):
         return
-    shingles = grams(hashes, SHINGLE, _A)
+    shingles = grams(hashes, SHINGLE)
     at = np.searchsorted(items.shingle, shingles)
     hits = np.flatnonzero(items.shingle[np.minimum(at, len(items.shingle) - 1)] == shingles)
     if not len(hits):

@@ -1,13 +1,15 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: a prefix-filtered self-join.
+"""Near-duplicates by SimHash with exact verification, for budgets that 16-bit blocks can't serve.
 
-Every document becomes the set of its shingles' 64-bit hashes, in one order for all documents: those that many
-documents of a sample share come last. Two sets of similarity ``t`` then share a shingle among their first
-``n - ceil(t * n) + 1``, so the join on those shingles meets every such pair, and the lengths and the places of the
-shared shingle rule most others out. What is left is verified on the whole sets: no pair is missed and none is
-estimated. The order decides only how many pairs are verified, never the result.
+Every text becomes the set of its shingles' hashes and a 64-bit SimHash of that set. At 0.8 Jaccard similarity two
+fingerprints differ in about ten bits, so the trie walk needs a budget of about two dozen and nodes to start from that similar texts
+share whatever their bits. Those nodes are shingles: all sets are sorted in one order, what many texts hold last, and two sets of
+similarity ``t`` have a common shingle among their first ``n - ceil(t * n) + 1``. Below each shared shingle the trie
+self-join walks pairs of nodes and prunes beyond the budget; pairs that are left are verified on their whole sets.
 
-To keep groups of many copies linear, neighbours by size below each shingle are verified first; the join then leaves
-out pairs that are in one component already. Sets, pairs, links and components stay in tables.
+The order comes from a Count-Min sketch over all texts: it decides how many pairs are walked, never the result. Dense groups
+are cut first: each set is verified against the nearest of two neighbours below its shingles, and the walk leaves out
+pairs in one component. Members of the root that most of a group has are only paired with the rest of it; large groups fall into blocks whose
+pairs are tasks. Sets, pairs, links and components stay in tables.
 """
 
 from __future__ import annotations
@@ -17,65 +19,328 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklake.llm._text import Rolling, Words, pieces, small_batches
-from sparklake.llm.simhash_dedup import components
-from sparklake.session import materialise
+from sparklake.llm._text import Words, grams, input_bytes, pack, pieces, small_batches, unpack
+from sparklake.llm._trie import components, walk
+from sparklake.session import discard, materialise
 
-SHINGLE, THRESHOLD = 5, 0.8
-#: Documents that the order of shingles is learned from, about, and the shared shingles that it knows, at most.
-ORDER_ROWS, ORDER_SHINGLES = 20_000, 1 << 16
+SHINGLE, THRESHOLD, BUDGET = 5, 0.8, 26
+#: Counters of each of the sketch's two rows, and the pieces that they are summed in.
+SLOTS, SLICES = 1 << 16, 64
+#: Entries held by a task before it settles and sends them; bytes of input whose entries one bucket settles.
+FLUSH, BUCKET_BYTES = 1 << 19, 8 << 20
+#: Members of a group's block: a task walks one pair of blocks.
+GROUP = 1 << 12
+#: Bits of the filter that keeps texts of no pair out of an exchange.
+FILTER_BITS = 1 << 24
 #: Guards comparisons with products of the threshold; the similarity itself is compared as it is.
-SLACK = 1e-6
-_R = Rolling(31)
+SLACK = 1e-9
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
-def _sets(texts: pa.Array, shingle: int, hot: np.ndarray, heat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' distinct shingles in the order of (heat, hash), and where each text's begin, with the end."""
+def _sets(texts: pa.Array, shingle: int, order: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' distinct shingles, sorted by ``order`` (see _order) and hash, and where each text's begin, with the end."""
     words = Words(texts)
     words.data = _LOWER[words.data]
     counts = words.counts()
+    hashes = words.hashes()
     n = np.where(counts > 0, np.maximum(counts - shingle + 1, 1), 0)
     doc = np.repeat(np.arange(len(n)), n)
-    start = words.first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-    values = _R.slices(words.hashes(_R), start, np.minimum(start + shingle, words.first[doc + 1]))
-    rank = np.zeros(len(values), np.int64)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
-        rank = np.where(hot[at] == values, heat[at], 0)
-    order = np.lexsort((values, rank, doc))
-    values, doc = values[order], doc[order]
+    at = words.first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    values = np.empty(len(doc), np.uint64)
+    for size in range(1, shingle + 1):  # a shorter text is one shingle
+        use = np.flatnonzero(np.minimum(counts, shingle)[doc] == size)
+        values[use] = grams(hashes, size, at[use])
+    by = np.lexsort((values, doc) if order is None else (values, _heat(values, order), doc))
+    values, doc = values[by], doc[by]
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])
     return values[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(n)))])
 
 
-def _order(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that most documents of a sample share, sorted, and by how many; at most ORDER_SHINGLES."""
+def _slots(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (values & np.uint64(SLOTS - 1)).astype(np.int64), (values >> np.uint64(48)).astype(np.int64)
+
+
+def _heat(values: np.ndarray, order: np.ndarray) -> np.ndarray:
+    a, b = _slots(values)
+    return np.minimum(order[0][a], order[1][b])
+
+
+def _order(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How many texts hold the shingles of each slot: a Count-Min sketch of two rows over all texts, 1 MB on the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros((2, SLOTS), np.int64)
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                values, _ = _sets(part.column("text"), shingle, None)
+                for row, slots in enumerate(_slots(values)):
+                    total[row] += np.bincount(slots, minlength=SLOTS)
+        return total
+
+    return _summed(texts, run, 16 * SLOTS // SLICES, np.add).view(np.int64).reshape(2, SLOTS)
+
+
+def _simhashes(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each set's fingerprint: a bit is 1 if more than half of its hashes have it; 0 for an empty set."""
+    n = np.diff(first)
+    out, some = np.zeros(len(n), np.uint64), np.flatnonzero(n)
+    if len(some):
+        bits = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        on = 2 * np.add.reduceat(bits, first[some], axis=0, dtype=np.int32) > n[some][:, None]
+        out[some] = np.packbits(on, axis=1).view(">u8").reshape(-1)
+    return out
+
+
+def _keys(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The digests of sets, of which each is sorted by hash."""
+    return np.array([xxhash.xxh64_intdigest(values[a:z].tobytes()) for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], np.uint64).view(np.int64)
+
+
+def _prints(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """(id, h, key, sim, n, prefix) of (id, h, text): the set's digest, fingerprint and size, and its first shingles where a task meets a set first."""
+    order = _order(texts.select("text"), shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.uint64)
+        seen: set[int] = set()
         for batch in batches:
             for part in pieces(batch, "text"):
-                values, _ = _sets(part.column("text"), shingle, none, none)
-                yield pa.record_batch([pa.array(values.view(np.int64))], ["s"])
+                values, first = _sets(part.column("text"), shingle, order)
+                n = np.diff(first)
+                doc = np.repeat(np.arange(len(n)), n)
+                keys = _keys(values[np.lexsort((values, doc))], first)
+                head = np.where(n > 0, n - np.ceil(threshold * n - SLACK).astype(np.int64) + 1, 0)
+                for d, key in enumerate(keys.tolist()):
+                    if key in seen:
+                        head[d] = 0
+                    seen.add(key)
+                offsets = np.concatenate([[0], np.cumsum(head)])
+                at = np.arange(offsets[-1]) + np.repeat(first[:-1] - offsets[:-1], head)
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values[at].view(np.int64)))
+                yield pa.record_batch([part.column("id"), part.column("h"), pa.array(keys), pa.array(_simhashes(values, first).view(np.int64)), pa.array(n.astype(np.int32)), lists], ["id", "h", "key", "sim", "n", "prefix"])
 
-    total = texts.count()
-    some = texts if total <= ORDER_ROWS else texts.sample(ORDER_ROWS / total, 7)
-    shared = some.mapInArrow(run, "s long").groupBy("s").count().where("count > 3").orderBy(F.desc("count"), "s").limit(ORDER_SHINGLES).collect()
-    hot = np.array([r[0] for r in shared], np.int64).view(np.uint64)
-    by = np.argsort(hot)
-    return hot[by], np.array([r[1] for r in shared], np.int64)[by]
+    return materialise(texts.mapInArrow(run, "id long, h long, key long, sim long, n int, prefix array<long>"), "prints")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) of at least the similarity, as a table."""
+def _shared(prints: DataFrame, buckets: int) -> DataFrame:
+    """(s, key): the shingles that the prefixes of two sets have, with those sets; rows may repeat.
+
+    A batch sends two entries at most for a shingle: the sets beyond that share it already and ride along.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, turn = [], 7919 * TaskContext.get().partitionId()
+
+        def flush() -> pa.RecordBatch:
+            nonlocal turn
+            s, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            by = np.lexsort((key, s))
+            s, key = s[by], key[by]
+            rest = np.zeros(len(s), bool)
+            rest[2:] = s[2:] == s[:-2]
+            bucket = ((s[~rest] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            edges = np.searchsorted(bucket, np.arange(buckets + 1))
+            rows, out = [], []
+            for b in np.flatnonzero(np.diff(edges)):
+                a, z = edges[b], edges[b + 1]
+                rows.append(int(b))
+                out.append(b"\0" + pack(np.diff(s[~rest][a:z], prepend=np.uint64(0))) + pack(key[~rest][a:z]))
+            for at in range(0, int(rest.sum()), FLUSH // 64):
+                rows.append(turn % buckets)
+                out.append(b"\1" + pack(s[rest][at : at + FLUSH // 64]) + pack(key[rest][at : at + FLUSH // 64]))
+                turn += 1
+            return pa.record_batch([pa.array(rows, pa.int32()), pa.array(out, pa.binary())], ["bucket", "payload"])
+
+        for batch in batches:
+            lists = batch.column("prefix")
+            key = np.repeat(batch.column("key").to_numpy(), np.diff(lists.offsets.to_numpy()))
+            held.append((lists.flatten().to_numpy().view(np.uint64), key))
+            if sum(len(x) for x, _ in held) >= FLUSH:
+                yield flush()
+        if held:
+            yield flush()
+
+    def settle(table: pa.Table) -> pa.Table:
+        got: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
+        for raw in table.column("payload").to_pylist():
+            n = (len(raw) - 1) // 16
+            first, key = unpack(raw[1 : 1 + 8 * n], np.uint64, n), unpack(raw[1 + 8 * n :], np.int64, n)
+            got[raw[0]].append((np.cumsum(first) if raw[0] == 0 else first, key))
+        out = got[1]
+        if got[0]:
+            s, key = (np.concatenate(x) for x in zip(*got[0], strict=True))
+            by = np.lexsort((key, s))
+            s, key = s[by], key[by]
+            new = np.ones(len(s), bool)
+            new[1:] = (s[1:] != s[:-1]) | (key[1:] != key[:-1])
+            s, key = s[new], key[new]
+            twin = np.zeros(len(s), bool)
+            twin[1:] = s[1:] == s[:-1]
+            twin[:-1] |= twin[1:]
+            out.append((s[twin], key[twin]))
+        s, key = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return pa.table({"s": pa.array(s.view(np.int64)), "key": pa.array(key)})
+
+    sent = prints.where(F.size("prefix") > 0).select("key", "prefix").mapInArrow(send, "bucket int, payload binary")
+    return sent.groupBy("bucket").applyInArrow(settle, "s long, key long")
+
+
+def _neighbours(rows: DataFrame, threshold: float, budget: int) -> DataFrame:
+    """(u, v, far): for each set v the nearest by SimHash, within the budget, of the sets before it and of the first ones below its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the row before, and the first one of its shingle here
+        for batch in batches:
+            s, key, sim, n = (batch.column(c).to_numpy() for c in ("s", "key", "sim", "n"))
+            if not len(s):
+                continue
+            size = len(s)
+            if last is not None:
+                s, key, sim, n = (np.concatenate([[a, b], x]) for a, b, x in zip(*last, (s, key, sim, n), strict=True))
+            at = np.arange(len(s) - size, len(s))
+            new = np.ones(len(s), bool)
+            new[1:] = s[1:] != s[:-1]
+            leader = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+            last = [tuple(x[k] for x in (s, key, sim, n)) for k in (leader[-1], len(s) - 1)]
+            out = []
+            for other in (at - 1, leader[at]):
+                a, b = other[other >= 0], at[other >= 0]
+                far = np.bitwise_count(sim[a].view(np.uint64) ^ sim[b].view(np.uint64))
+                ok = (s[a] == s[b]) & (key[a] != key[b]) & (far <= budget) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - SLACK)
+                out.append((key[a][ok], key[b][ok], far[ok].astype(np.int32)))
+            u, v, far = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.record_batch([pa.array(u), pa.array(v), pa.array(far)], ["u", "v", "far"])
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = rows.repartitionByRange(parts, "s", "n", "key").sortWithinPartitions("s", "n", "key").mapInArrow(run, "u long, v long, far int")
+    return near.groupBy("v").agg(F.min(F.struct("far", "u")).alias("m")).select(F.col("m.u").alias("u"), "v")
+
+
+def _blocks(rows: DataFrame, group: int) -> DataFrame:
+    """rows (s, key, sim, n, root) of groups with several roots, dealt out to tasks (s, kind, i, j): sides 0 and 1 of a pair of blocks.
+
+    Kind 0 pairs the root that most members have with the rest, kind 1 the rest with itself.
+    """
+    by_root = rows.groupBy("s", "root").agg(F.count("*").alias("c"))
+    groups = by_root.groupBy("s").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all"), F.count("*").alias("roots")).where("roots > 1")
+    dealt = lambda n: F.ceil(n / group).cast("int")
+    groups = groups.select("s", F.col("top.root").alias("top"), dealt(F.col("top.c")).alias("m"), dealt(F.col("all") - F.col("top.c")).alias("r"))
+    held = rows.join(groups, "s").withColumn("most", F.col("root") == F.col("top"))
+    held = held.withColumn("b", F.pmod(F.xxhash64("key"), F.when(F.col("most"), F.col("m")).otherwise(F.col("r"))).cast("int"))
+    task = F.expr(
+        """CASE WHEN most THEN transform(sequence(0, r - 1), j -> struct(0 AS kind, b AS i, j AS j, 0 AS side))
+           ELSE concat(transform(sequence(0, m - 1), i -> struct(0 AS kind, i AS i, b AS j, 1 AS side)),
+                       transform(sequence(0, r - 1), j -> struct(1 AS kind, least(b, j) AS i, greatest(b, j) AS j, CASE WHEN b <= j THEN 0 ELSE 1 END AS side))) END"""
+    )
+    return held.withColumn("t", F.explode(task)).select("s", "t.*", "key", "sim", "n", "root")
+
+
+def _walked(tasks: DataFrame, threshold: float, budget: int, group: int) -> DataFrame:
+    """(u, v), u < v: pairs of different roots within the budget and of fitting sizes; pairs below several shingles once."""
+    keys = ["s", "kind", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            cols = {c: table.column(c).to_numpy() for c in table.column_names}
+            x = cols["sim"].view(np.uint64)
+            by = np.lexsort((x, cols["side"], *(cols[c] for c in reversed(keys))))
+            cols, x = {c: v[by] for c, v in cols.items()}, x[by]
+            new = np.ones(len(x), bool)
+            new[1:] = np.any([cols[c][1:] != cols[c][:-1] for c in keys], axis=0)
+            lo = np.flatnonzero(new)
+            hi = np.append(lo[1:], len(x))
+            first = np.concatenate([[0], np.cumsum(cols["side"] == 0)])
+            mid = lo + first[hi] - first[lo]
+            own = (cols["kind"][lo] == 1) & (cols["i"][lo] == cols["j"][lo])
+            start = (lo, np.where(own, hi, mid), np.where(own, lo, mid), hi, np.zeros(len(lo), np.int64))
+            live = (start[0] < start[1]) & (start[2] < start[3])
+            key, n, root = cols["key"], cols["n"], cols["root"]
+            for a, b in walk(x, tuple(v[live] for v in start), 0, budget):
+                ok = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - SLACK)
+                a, b = key[a[ok]], key[b[ok]]
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= 4 * group:
+                # rows come sorted by task; cut where the last one begins
+                table = pa.Table.from_batches(held)
+                change = np.flatnonzero(np.any([np.diff(table.column(c).to_numpy()) != 0 for c in keys], axis=0))
+                if len(change):
+                    cut = int(change[-1]) + 1
+                    yield from pairs(table.slice(0, cut))
+                    held, rows = table.slice(cut).to_batches(), len(table) - cut
+        if rows:
+            yield from pairs(pa.Table.from_batches(held))
+
+    parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tasks.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long").distinct()
+
+
+def _summed(df: DataFrame, run, width: int, add) -> np.ndarray:
+    """``run`` makes one array of SLICES * width bytes in each task; they are added up slice by slice and sent to the driver."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = run(batches).view(np.uint8).reshape(SLICES, width)
+        yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in total], pa.binary())], ["slice", "part"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = None
+        for raw in table.column("part").to_pylist():
+            part = np.frombuffer(raw, np.int64)
+            total = part if total is None else add(total, part)
+        return pa.table({"slice": table.column("slice")[:1], "part": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((SLICES, width), np.uint8)
+    for row in df.mapInArrow(each, "slice int, part binary").groupBy("slice").applyInArrow(merge, "slice int, part binary").collect():
+        out[row.slice] = np.frombuffer(row.part, np.uint8)
+    return out.reshape(-1)
+
+
+def _bitmap(rows: DataFrame) -> np.ndarray:
+    """A filter of 2 MB, whatever the input: bit h modulo its size is set for each h of rows (h)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[_bit(batch.column("h"))] = True
+        return np.packbits(bits, bitorder="little")
+
+    return _summed(rows, run, FILTER_BITS // 8 // SLICES, np.bitwise_or)
+
+
+def _bit(h: pa.Array) -> np.ndarray:
+    return (h.to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """The pairs (u, v) of at least the similarity, as a table.
+
+    The sets are taken anew, from one text of each set; a filter of bounded size keeps most other texts out of the exchange, the
+    joins the rest.
+    """
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    rows = prints.join(needed, "key").groupBy("key").agg(F.min(F.xxhash64("id", "h")).alias("h"))
+    wanted = _bitmap(rows.select("h"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bit(batch.column("h"))
+            use = batch.filter(pa.array((wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            for part in pieces(use, "text"):
+                values, first = _sets(part.column("text"), shingle, None)
+                yield pa.record_batch([pa.array(_keys(values, first)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))], ["key", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = np.zeros(len(batch), bool)
             for k, (a, b) in enumerate(zip(batch.column("a"), batch.column("b"), strict=True)):
@@ -84,65 +349,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 near[k] = both / (len(a) + len(b) - both) >= threshold
             yield batch.select(["u", "v"]).filter(pa.array(near))
 
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    held = sets.join(needed, "fp", "left_semi").dropDuplicates(["fp"])
-    a, b = (held.select(F.col("fp").alias(k), F.col("shingles").alias(s)) for k, s in (("u", "a"), ("v", "b")))
-    return materialise(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "links")
+    found = texts.select(F.xxhash64("id", "h").alias("h"), "text").mapInArrow(build, "key long, shingles array<long>")
+    sets = materialise(found.join(needed, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    a, b = (sets.select(F.col("key").alias(k), F.col("shingles").alias(s)) for k, s in (("u", "a"), ("v", "b")))
+    found = materialise(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "links")
+    discard(sets)
+    return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: id_col, component_id: the smallest id reachable over links of at least ``threshold``.
+def clusters(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, budget: int, group: int = GROUP) -> DataFrame:
+    """(id, h, sim, key, root): the rows' ids and text hashes with the digest of their set and that of their component, as a table.
 
-    The similarity of two texts is the Jaccard similarity of their sets of ``shingle`` words; a shorter text is one
-    shingle. Words are runs of characters other than space and U+0009 to U+000D, A-Z lower-cased. Null and empty texts
-    are copies of each other and of nothing else. Null ids stay null and are never a component's id unless it has no
-    other; repeated rows are kept.
+    Null ids are -2**63 here.
     """
-    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    hot, heat = _order(texts.select("text"), shingle)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                values, first = _sets(part.column("text"), shingle, hot, heat)
-                fps = [xxhash.xxh64_intdigest(values[a:z].tobytes()) for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                n = np.diff(first)
-                # a task sends each distinct set once
-                new = np.zeros(len(fps), bool)
-                for d, fp in enumerate(fps):
-                    new[d] = fp not in seen
-                    seen.add(fp)
-                offsets = np.concatenate([[0], np.cumsum(np.where(new, n, 0))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[np.repeat(new, n)].view(np.int64)))
-                yield pa.record_batch([part.column("id"), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], ["id", "fp", "shingles"])
-
-    rows = materialise(texts.mapInArrow(run, "id long, fp long, shingles array<long>"), "sets")
-    sets = rows.where(F.size("shingles") > 0).select("fp", "shingles", F.size("shingles").alias("n"))
-    prefix = sets.select("fp", "n", F.posexplode(F.expr(f"slice(shingles, 1, n - CAST(ceil({threshold}D * n - {SLACK}D) AS INT) + 1)")).alias("at", "s"))
-    below = Window.partitionBy("s")
-    columns = ("fp", "n", "at")
-    before = F.lag(F.struct(*columns)).over(below.orderBy("n", "fp"))
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # one row per set and shingle, of shingles that two sets have
-    shared = prefix.repartition(partitions, "s").dropDuplicates(["s", "fp"]).withColumn("of", F.count("*").over(below)).withColumn("b", before).where("of > 1").drop("of")
-    shared = materialise(shared, "shared")
-
-    def candidates(a: str, b: str) -> str:
-        like = f"{threshold / (1 + threshold)!r}D * ({a}n + {b}n)"
-        return f"least({a}n, {b}n) >= {threshold}D * greatest({a}n, {b}n) - {SLACK}D AND least({a}n - {a}at, {b}n - {b}at) >= {like} - {SLACK}D"
-
-    ordered = (F.least("fp", "other").alias("u"), F.greatest("fp", "other").alias("v"))
-    first = materialise(shared.where("b IS NOT NULL").where(candidates("", "b.")).withColumn("other", F.col("b.fp")).select(*ordered).distinct(), "pairs")
-    links = _verified(first, sets, threshold)
+    texts = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // BUCKET_BYTES)
+    prints = _prints(texts, shingle, threshold)
+    one = prints.where(F.size("prefix") > 0).groupBy("key").agg(F.first("sim").alias("sim"), F.first("n").alias("n"))
+    rows = materialise(_shared(prints, buckets).distinct().join(one, "key").select("s", "key", "sim", "n"), "met")
+    first = materialise(_neighbours(rows, threshold, budget), "pairs")
+    links = _verified(first, prints, texts, shingle, threshold)
     comp = components(links)
-    known = shared.drop("b").join(comp, F.col("fp") == F.col("node"), "left").select("s", *columns, F.coalesce("root", "fp").alias("root"))
-    x, y = (known.select("s", *(F.col(c).alias(p + c) for c in (*columns, "root"))) for p in ("x_", "y_"))
-    met = x.join(y, "s").where("x_fp < y_fp AND x_root <> y_root").where(candidates("x_", "y_")).select(F.col("x_fp").alias("u"), F.col("y_fp").alias("v")).distinct()
-    more = _verified(materialise(met.join(first, ["u", "v"], "left_anti"), "pairs"), sets, threshold)
-    comp = components(links.union(more))
-    distinct = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    known = distinct.join(comp, distinct.fp == comp.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_set = known.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return rows.select("id", "fp").join(of_set, "fp").select(F.col("id").alias(id_col), "component_id")
+    known = rows.join(comp, F.col("key") == F.col("node"), "left").select("s", "key", "sim", "n", F.coalesce("root", "key").alias("root"))
+    known = materialise(known, "known")
+    more = materialise(_walked(_blocks(known, group), threshold, budget, group), "pairs")
+    later = _verified(more, prints, texts, shingle, threshold)
+    final = components(links.union(later))
+    found = prints.join(final, F.col("key") == F.col("node"), "left").select("id", "h", "sim", "key", F.coalesce("root", "key").alias("root"))
+    found = materialise(found, "clusters")
+    for table in (prints, rows, first, links, comp, known, more, later, final):
+        discard(table)
+    return found

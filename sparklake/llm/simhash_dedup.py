@@ -21,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparklake.llm import shingle_dedup
 from sparklake.llm._text import pieces, small_batches
-from sparklake.session import materialise
+from sparklake.llm._trie import BITS, components, roots, walk
+from sparklake.session import discard, materialise
 
-BITS, BUDGET, BLOCK = 64, 3, 16
+BUDGET, BLOCK = 3, 16
 #: Fingerprints below one node that a single task walks.
 GROUP = 1 << 16
-#: Node pairs held at once by a walk.
-FRONTIER = 1 << 17
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -49,72 +49,19 @@ def simhash(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id_col, fp): the fingerprint as a signed long; null and empty texts have fingerprint 0."""
+    """(id_col, text_hash, fp): the fingerprint as a signed long; null and empty texts have fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 fp = np.array([simhash(x, shingle) for x in part.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-                yield pa.record_batch([part.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
+                yield pa.record_batch([part.column("id"), part.column("text_hash"), pa.array(fp.view(np.int64))], ["id", "text_hash", "fp"])
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long").withColumnRenamed("id", id_col)
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "id long, text_hash long, fp long").withColumnRenamed("id", id_col)
 
 
-def _walk(x: np.ndarray, pairs: tuple[np.ndarray, ...], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j), i < j, of sorted rotated fingerprints within the budget, from pairs of trie nodes.
-
-    A node is a range lo:hi of x whose members agree in their first ``depth`` bits; pairs holds lo, hi of both
-    nodes and the differing bits so far.
-    """
-    ones = {}
-    stack = [(depth, pairs)]
-    while stack:
-        depth, (a, b, c, d, diff) = stack.pop()
-        small = ((b - a) * (d - c) <= 32) | (depth == BITS)
-        leaves = np.flatnonzero(small)
-        for at in range(0, len(leaves), FRONTIER // 16):
-            pick = leaves[at : at + FRONTIER // 16]
-            width, size = (d - c)[pick], ((b - a) * (d - c))[pick]
-            which = np.repeat(np.arange(len(pick)), size)
-            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            i, j = a[pick][which] + step // width[which], c[pick][which] + step % width[which]
-            ok = i < j
-            i, j = i[ok], j[ok]
-            near = np.bitwise_count(x[i] ^ x[j]) <= BUDGET
-            yield i[near], j[near]
-        a, b, c, d, diff = (v[~small] for v in (a, b, c, d, diff))
-        if not len(a):
-            continue
-        if depth not in ones:
-            ones[depth] = np.concatenate([[0], np.cumsum((x >> np.uint64(BITS - 1 - depth)) & np.uint64(1))]).astype(np.int64)
-        one = ones[depth]
-        m, n = b - (one[b] - one[a]), d - (one[d] - one[c])
-        same = (a == c) & (b == d)
-        children = [(a, m, c, n, diff), (m, b, n, d, diff), (a, m, n, d, diff + 1)]
-        children.append(tuple(v[~same] for v in (m, b, c, n, diff + 1)))
-        new = tuple(np.concatenate(v) for v in zip(*children, strict=True))
-        live = (new[0] < new[1]) & (new[2] < new[3]) & (new[4] <= BUDGET)
-        new = tuple(v[live] for v in new)
-        for at in range(0, len(new[0]), FRONTIER):
-            stack.append((depth + 1, tuple(v[at : at + FRONTIER] for v in new)))
-
-
-def _roots(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The labels after joining i and j: each member's smallest reachable member so far."""
-    while len(i):
-        p, q = label[i], label[j]
-        ok = p != q
-        i, j, p, q = i[ok], j[ok], p[ok], q[ok]
-        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-    return label
-
-
-def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
+def links(distinct: DataFrame, group: int = GROUP, budget: int = BUDGET) -> DataFrame:
     """(u, v), u < v: edges whose components are those of all pairs of fingerprints ``fp`` within the budget.
 
     Within each task the links are reduced to a spanning forest; no link between different components is lost.
@@ -134,7 +81,7 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
 
-        def walk(table: pa.Table) -> pa.RecordBatch:
+        def join(table: pa.Table) -> pa.RecordBatch:
             cols = {n: table.column(n).to_numpy() for n in table.column_names}
             x, fp = cols["x"].astype(np.int64).view(np.uint64), cols["fp"].astype(np.int64)
             order = np.lexsort((x, cols["s2"], cols["s1"], cols["node"], cols["r"]))
@@ -156,8 +103,8 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
                 at = extra == e
                 pairs = (lo[at], mid[at], np.where(cross, mid, lo)[at], hi[at], np.bitwise_count(s1[at] ^ s2[at]).astype(np.int64))
                 live = (pairs[0] < pairs[1]) & (pairs[2] < pairs[3])
-                for i, j in _walk(x, tuple(v[live] for v in pairs), BLOCK + int(e)):
-                    label = _roots(label, i, j)
+                for i, j in walk(x, tuple(v[live] for v in pairs), BLOCK + int(e), budget):
+                    label = roots(label, i, j)
             tied = np.flatnonzero(label != np.arange(len(x)))
             u, v = fp[tied], fp[label[tied]]
             return pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
@@ -173,11 +120,11 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
                 change = np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0))
                 if len(change):
                     cut = int(change[-1]) + 1
-                    yield walk(table.slice(0, cut))
+                    yield join(table.slice(0, cut))
                     held, rows = table.slice(cut).to_batches(), len(table) - cut
             last = batch
         if last is not None and rows:
-            yield walk(pa.Table.from_batches(held))
+            yield join(pa.Table.from_batches(held))
 
     keys = ["r", "node", "s1", "s2"]
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -185,45 +132,33 @@ def links(distinct: DataFrame, group: int = GROUP) -> DataFrame:
     return found.where("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of each node of (u, v), u <> v: root is the smallest node reachable.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = BUDGET, threshold: float | None = None) -> DataFrame:
+    """Per row: id_col, text_hash, fp (the fingerprint as a signed long), component_id: the smallest id reachable over links; and first.
 
-    Alternates large-star and small-star rounds until neither changes the edges; each round is a table in the
-    shared folder.
-    """
-    edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before = state(edges)
-    while before[0]:
-        both = edges.union(edges.select("v", "u").toDF("u", "v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.join(least, "u").where("v > u").select("v", "m").toDF("u", "v").where("u <> v").distinct()
-        edges = materialise(edges, "edges")
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        edges = edges.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select("e.v", "e.m").toDF("u", "v").where("u <> v").distinct()
-        edges = materialise(edges, "edges")
-        after = state(edges)
-        if after == before:
-            break
-        before = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """Per row: id_col, fp (signed long), component_id: the smallest id reachable over links of at most 3 differing bits.
+    Fingerprints link at ``budget`` differing bits or fewer, at most 3. With a ``threshold`` (and any budget) a link needs that Jaccard
+    similarity of the sets of shingles too, computed exactly, and fingerprints are those of the sets; see ``shingle_dedup``.
 
     Words are runs of characters other than space and U+0009 to U+000D, A-Z lower-cased; shingles of ``shingle`` words,
-    repeats included. Null and empty texts have fingerprint 0 and are linked like any other. Null ids stay null and
-    are never a component's id unless it has no other; repeated rows are kept.
+    a shorter text being one shingle. Null and empty texts have fingerprint 0; without a threshold they are linked like any other,
+    with one they are copies of each other and of nothing else. Texts are read whole, whatever their length. Null ids stay null, are never a component's id unless it has no
+    other, and come last in the order; repeated rows are kept. text_hash is Spark's xxhash64 of the text, and first is true for the rows of the
+    component's first id and text hash: one row, if no row repeats. Other columns are left out, so none can clash. An empty table gives no rows.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    comp = components(links(distinct.select("fp")))
-    known = distinct.join(comp, distinct.fp == comp.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    # a component of one fingerprint has one row per root; only real components meet by root
-    named = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = known.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(id_col, "fp", "component_id")
+    if threshold is not None:
+        found = shingle_dedup.clusters(docs, id_col, text_col, shingle, threshold, budget)
+        rows = found.select(F.nullif(F.col("id"), F.lit(-(1 << 63))).alias("id"), "h", F.col("sim").alias("fp"), F.col("key"), F.col("root"))
+    else:
+        if budget > BUDGET:
+            raise ValueError(f"a budget over {BUDGET} bits needs a threshold")
+        found = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+        prints = found.select(F.col(id_col).alias("id"), F.col("text_hash").alias("h"), "fp", F.col("fp").alias("key"))
+        rows = prints.join(components(links(prints.select("fp").distinct(), budget=budget)), F.col("key") == F.col("node"), "left")
+        rows = rows.select("id", "h", "fp", "key", F.coalesce("root", "key").alias("root"))
+    # the sets first: most components are one, and their many rows combine before the exchange by root
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    of_key = rows.groupBy("key", "root").agg(F.min(place).alias("place"))
+    of_root = of_key.groupBy("root").agg(F.min("place").alias("place"))
+    of_key = of_key.select("key", "root").join(of_root, "root").select("key", F.col("place.id").alias("component_id"), F.col("place.h").alias("first_h"))
+    out = rows.drop("root").join(of_key, "key")
+    first = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("first_h"))
+    return out.select(F.col("id").alias(id_col), F.col("h").alias("text_hash"), "fp", "component_id", first.alias("first"))

@@ -22,12 +22,12 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklake.llm._text import Rolling, Words, grams, pack, pieces, small_batches, unpack
+from sparklake.llm._text import Words, grams, input_bytes, pack, pieces, small_batches, unpack
+from sparklake.session import materialise
 
 WINDOW = 20
 PERIOD = 13
@@ -37,13 +37,31 @@ COVER = (0, 1, 3, 9)
 FLUSH = 1 << 19
 #: Settled entries sent along with one bucket.
 KNOWN = 1 << 13
-#: Stands for a null doc_id: such rows come first in the order (an id of this value reads as null).
+#: Stands for a null doc_id in the key of a row.
 NO_ID = -(1 << 63)
-_A, _B = Rolling(11), Rolling(12)
+#: Seeds of the two independent 64-bit hashes of a window.
+_A, _B = 11, 12
+#: Bytes of input whose entries one bucket settles.
+BUCKET_BYTES = 4 << 20
 
 
 def _ids(column: pa.Array) -> np.ndarray:
-    return column.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """rows (id, text, ...) with k: a document's key, in the order of ids, null ids first.
+
+    The id is the key as long as no id (null is one here) has two texts; else each distinct (id, text) has a key of its own,
+    its place in a sorted table of ids and text hashes.
+    """
+    own, texts = F.coalesce("id", F.lit(NO_ID)), F.xxhash64("text")
+    several = rows.groupBy(own.alias("k")).agg(F.min(texts).alias("lo"), F.max(texts).alias("hi")).where("lo <> hi")
+    if several.isEmpty():
+        return rows.withColumn("k", own)
+    keys = rows.select(F.col("id").alias("_id"), texts.alias("_h")).distinct().sort(F.col("_id").asc_nulls_first(), "_h")
+    keys = materialise(keys.withColumn("k", F.monotonically_increasing_id()), "keys")
+    return rows.withColumn("_own", texts).join(keys, F.col("id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_h"))).drop("_id", "_h", "_own")
 
 
 def _send(bucket_of: np.ndarray, keys: list[np.ndarray], doc: np.ndarray, pos: np.ndarray, buckets: int, known: tuple[np.ndarray, np.ndarray], turn: int) -> pa.RecordBatch:
@@ -103,7 +121,7 @@ def _pairs(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(doc, pa.int64()), pa.array(pos, pa.int32())], ["k", "pos"])
 
 
-def repeated_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
+def repeated_anchors(docs: DataFrame, window: int, buckets: int, most: int = FLUSH) -> DataFrame:
     """(k, pos): each covered position whose anchor occurs at another covered position too."""
     size = window - PERIOD + 1
     covered = np.isin(np.arange(PERIOD), COVER)
@@ -133,9 +151,9 @@ def repeated_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 at = np.arange(len(words)) - first[doc_of]
                 use = np.flatnonzero(covered[at % PERIOD] & (at + size <= counts[doc_of]) & (counts[doc_of] >= window))
                 if len(use):
-                    h = grams(words.hashes(_A), size, _A)[use] >> np.uint64(8) << np.uint64(8)
+                    h = grams(words.hashes(_A), size, use) >> np.uint64(8) << np.uint64(8)
                     held.append((h, _ids(part.column("k"))[doc_of[use]], at[use].astype(np.int32)))
-                if sum(len(x[0]) for x in held) >= FLUSH:
+                if sum(len(x[0]) for x in held) >= most:
                     yield flush()
                     turn += 104729
         if held:
@@ -153,7 +171,7 @@ def repeated_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(settle, "k long, pos int")
 
 
-def later_windows(docs: DataFrame, anchors: DataFrame, window: int, buckets: int) -> DataFrame:
+def later_windows(docs: DataFrame, anchors: DataFrame, window: int, buckets: int, most: int = FLUSH) -> DataFrame:
     """(k, pos): each window start whose words also start earlier. All columns of docs are read, as in the last step, which shares their exchange."""
     reach = PERIOD - 1
 
@@ -188,9 +206,9 @@ def later_windows(docs: DataFrame, anchors: DataFrame, window: int, buckets: int
                     doc_of = words.doc_of()
                     use = np.flatnonzero((np.cumsum(mark[:-1]) > 0) & (np.arange(n) + window <= first[doc_of + 1]))
                     if len(use):
-                        h, g = (grams(words.hashes(r), window, r)[use] for r in (_A, _B))
+                        h, g = (grams(words.hashes(seed), window, use) for seed in (_A, _B))
                         held.append((h, g, _ids(part.column("k"))[doc_of[use]], (use - first[doc_of[use]]).astype(np.int32)))
-                if sum(len(x[0]) for x in held) >= FLUSH:
+                if sum(len(x[0]) for x in held) >= most:
                     yield flush()
                     turn += 104729
         if held:
@@ -206,29 +224,33 @@ def later_windows(docs: DataFrame, anchors: DataFrame, window: int, buckets: int
             late = (doc != doc[head]) | (pos != pos[head])
         return pa.Table.from_batches([_pairs(np.concatenate([doc[late], known_doc]), np.concatenate([pos[late], known_pos]))])
 
-    found = docs.join(anchors.groupBy("k").agg(F.collect_list("pos").alias("at")), "k")
+    found = docs.join(anchors.groupBy("k").agg(F.collect_set("pos").alias("at")), "k")
     sent = found.mapInArrow(send, "bucket int, payload binary")
     return sent.groupBy("bucket").applyInArrow(settle, "k long, pos int")
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, buckets: int | None = None, keep: tuple[str, ...] = (), normalise: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, buckets: int | None = None, keep: tuple[str, ...] = (), normalise: bool = True, flush: int = FLUSH) -> DataFrame:
     """Per row of ``docs``: id_col, the ``keep`` columns, n_words, n_removed, kept (the kept words joined by one space; null for a null text).
 
     Without ``normalise`` a text of which nothing goes stays exactly as it is.
 
     Words are runs of characters other than space and U+0009 to U+000D. A word goes if a window over it
     also starts earlier: in a smaller id, or in the same document before. Windows are judged on the input.
-    Null and empty texts have no words. Null ids come first in the order and count as one document; rows that
-    share an id count as one document too: a start flagged for the id is flagged in each of its rows, and equal rows don't
-    flag each other. Texts may have any length. Columns not in ``keep`` are left out.
+    Null and empty texts have no words. Null ids come first in the order. Rows that share an id (or have none) and differ in their
+    texts are documents of their own, in the order of a hash of the text; rows equal in both count as one document: each
+    gets its results, and they don't flag each other. Texts may have any length. Columns not in ``keep`` are left out, and those in it may
+    have any name but id_col, n_words, n_removed and kept (ValueError). An empty table gives no rows.
     """
     if window < PERIOD + 1:
         raise ValueError(f"window must be at least {PERIOD + 1} words")
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
-    anchors = repeated_anchors(docs.select("k", "text"), window, buckets)
-    late = later_windows(docs, anchors, window, buckets).groupBy("k").agg(F.collect_list("pos").alias("late"))
+    buckets = buckets or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // BUCKET_BYTES)
+    if {c.lower() for c in keep} & {id_col.lower(), "n_words", "n_removed", "kept"}:
+        raise ValueError("keep clashes with the columns of the result")
+    docs = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
+    docs = _keyed(docs)
+    anchors = repeated_anchors(docs.select("k", "text"), window, buckets, flush)
+    late = later_windows(docs, anchors, window, buckets, flush).groupBy("k").agg(F.collect_set("pos").alias("late"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,8 +269,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     n_words.append(n)
                     n_removed.append(n - len(words))
                     kept.append(text if text is None or (not normalise and len(words) == n) else b" ".join(words))
-                k = part.column("k")
-                ids = pc.if_else(pc.equal(k, NO_ID), pa.scalar(None, pa.int64()), k)
+                ids = part.column("id")
                 rest = [part.column(f"_{i}") for i in range(len(keep))]
                 yield pa.record_batch([ids, *rest, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", *(f"_{i}" for i in range(len(keep))), "n_words", "n_removed", "kept"])
 

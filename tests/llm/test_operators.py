@@ -59,16 +59,15 @@ def copied():
 
 
 def test_substring_dedup_is_exact(spark, copied):
-    rows = copied + odd_rows()[:0] + [(500 + r[0], *r[1:]) for r in odd_rows()]
+    rows = copied + [(500 + r[0], *r[1:]) for r in odd_rows()]
     for buckets in (1, 7):
         found = substring_dedup.dedup_substrings(docs(spark, rows), buckets=buckets)
         got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256((r.kept or "").encode()).hexdigest()) for r in found.collect()}
         assert got == brute.substring_dedup([(r[0], r[1]) for r in rows])
 
 
-def test_substring_dedup_small_flushes(spark, copied, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "WINDOW", 20)
-    found = substring_dedup.dedup_substrings(docs(spark, copied).repartition(13), window=25)
+def test_substring_dedup_small_flushes(spark, copied):
+    found = substring_dedup.dedup_substrings(docs(spark, copied).repartition(13), window=25, flush=300)
     got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256((r.kept or "").encode()).hexdigest()) for r in found.collect()}
     assert got == brute.substring_dedup([(r[0], r[1]) for r in copied], 25)
 
@@ -83,6 +82,32 @@ def test_substring_dedup_repeated_rows_and_null_ids(spark):
     assert substring_dedup.dedup_substrings(df.limit(0)).collect() == []
 
 
+def test_substring_dedup_of_rows_that_share_an_id(spark):
+    a, b, c = passages(6, 3, 30)
+    # every text without an id, or with an id that others have, is a document of its own
+    rows = [(None, a + " " + b), (None, c + " " + a), (None, c), (7, b + " " + c), (7, passages(8, 1, 60)[0]), (7, passages(8, 1, 60)[0])]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    got = {r.text: r.n_removed for r in substring_dedup.dedup_substrings(df, keep=("text",)).collect()}
+    total = sum(got.values())
+    assert got[rows[3][1]] == 60 and got[rows[4][1]] == 0
+    assert total - 60 == 60  # a and c each stay once among the rows without an id
+    with pytest.raises(ValueError, match="clashes"):
+        substring_dedup.dedup_substrings(df.withColumn("kept", F.lit(1)), keep=("kept",))
+
+
+def test_substring_dedup_of_structured_words(spark):
+    # words and runs of words on which polynomial hashes modulo 2**64 collide
+    even = "a"
+    for _ in range(10):
+        even += even.translate(str.maketrans("ab", "ba"))
+    odd = even.translate(str.maketrans("ab", "ba"))
+    around = [f"x{i}" for i in range(19)]
+    rows = [(0, " ".join([even, *around])), (1, " ".join([odd, *around])), (2, " ".join(even[:1024])), (3, " ".join(odd[:1024]))]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring_dedup.dedup_substrings(df).collect()}
+    assert got == brute.substring_dedup(rows) and got[1][1] == 0
+
+
 def test_cover_holds_every_difference():
     diffs = {(a - b) % substring_dedup.PERIOD for a in substring_dedup.COVER for b in substring_dedup.COVER}
     assert diffs == set(range(substring_dedup.PERIOD))
