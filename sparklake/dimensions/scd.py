@@ -21,7 +21,7 @@ def type2(changes: DataFrame, key: str, at: str, attributes: list[str]) -> DataF
     """
     by_key = Window.partitionBy(key).orderBy(at)
     one = changes.groupBy(key, at).agg(F.max(F.struct(*attributes)).alias("_a"))
-    new = one.withColumn("_before", F.lag("_a").over(by_key)).where(F.col("_before").isNull() | (F.col("_before") != F.col("_a")) | ~F.col("_before").eqNullSafe(F.col("_a")))
+    new = one.withColumn("_before", F.lag("_a").over(by_key)).where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(F.col("_a")))
     end = F.lead(at).over(by_key)
     return new.select(key, "_a.*", F.col(at).alias("valid_from"), end.alias("valid_to"), end.isNull().alias("is_current"))
 
@@ -55,16 +55,20 @@ def history_table(spark, path: str, key: str, updates: DataFrame, attributes: li
 
 
 def apply_type2(table: VersionedTable, updates: DataFrame, key: str, at: str, attributes: list[str]) -> int:
-    """Apply a batch with one row for each key: changed rows are closed and reopened in one MERGE; a replay changes nothing.
+    """Apply a batch of changes in one MERGE, in any order of arrival: a late change splits the interval that it falls into.
 
-    Staged rows that open a version have a null merge key, so they match nothing and are inserted.
+    The histories of the updates' keys are built anew from their stored intervals and the updates; of two states of a key at one time the greater
+    values win. A replay changes nothing. Rows with a null key or time are left out. The table keeps changes only: a repeat of the state that holds leaves
+    no trace, so a different state that arrives later, from before that repeat, holds until the next change.
     """
-    staged = updates.withColumn("attr_hash", content_hash(*attributes))
-    current = table.to_df().where("is_current").select(F.col(key).alias("_k"), F.col("attr_hash").alias("_h"))
-    joined = staged.join(current, F.col(key) == F.col("_k"), "left")
-    changed = joined.where(F.col("_k").isNull() | (F.col("_h") != F.col("attr_hash")))
-    opening = changed.select(F.lit(None).cast(dict(updates.dtypes)[key]).alias("merge_key"), key, at, *attributes, "attr_hash")
-    closing = changed.where(F.col("_k").isNotNull()).select(F.col(key).alias("merge_key"), key, at, *attributes, "attr_hash")
-    values = {c: f"s.`{c}`" for c in (key, *attributes, "attr_hash")} | {"valid_from": f"s.`{at}`", "is_current": "true"}
-    merge = table.merge(opening.unionByName(closing), f"t.`{key}` = s.merge_key AND t.is_current")
-    return merge.when_matched_update({"valid_to": f"s.`{at}`", "is_current": "false"}).when_not_matched_insert(values, "s.merge_key IS NULL").execute()
+    updates = updates.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at, *attributes)
+    stored = table.to_df().join(updates.select(key).distinct(), key, "left_semi")
+    states = stored.select(key, F.col("valid_from").alias(at), *attributes).unionByName(updates)
+    new = type2(states, key, at, attributes).withColumn("attr_hash", content_hash(*attributes))
+    columns = [key, *attributes, "valid_from", "valid_to", "is_current", "attr_hash"]
+    gone = stored.join(new.select(key, "valid_from"), [key, "valid_from"], "left_anti")
+    source = new.select(*columns).withColumn("_gone", F.lit(False)).unionByName(gone.select(*columns).withColumn("_gone", F.lit(True)))
+    merge = table.merge(source, f"t.`{key}` = s.`{key}` AND t.valid_from = s.valid_from")
+    values = {c: f"s.`{c}`" for c in columns}
+    differs = "NOT (t.attr_hash <=> s.attr_hash AND t.valid_to <=> s.valid_to AND t.is_current <=> s.is_current)"
+    return merge.when_matched_delete("s._gone").when_matched_update(values, differs).when_not_matched_insert(values).execute()

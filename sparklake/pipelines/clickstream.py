@@ -16,7 +16,8 @@ EVENT = "event_id string, user_id string, event_type string, url string, event_t
 def run(spark: SparkSession, landing: str, root: str, gap_seconds: int = 1800) -> dict[str, VersionedTable]:
     """Process all files that have come since the last run; sessions are rebuilt from new users' events only.
 
-    Bronze keeps raw lines, silver one row for each event_id, gold the sessions of each user. A replay of any layer changes nothing.
+    Bronze keeps raw lines, silver one row for each event_id, gold the sessions of each user, all of which are replaced where new
+    events come, however late. A replay of any layer changes nothing.
     """
     tables = {}
     for name, schema, part in (("bronze", "raw_value string, bronze_date date", ("bronze_date",)), ("silver", f"{EVENT}", ("event_type",)), ("gold", "user_id string, session long, session_start timestamp, session_end timestamp, event_count long", ())):
@@ -39,7 +40,13 @@ def run(spark: SparkSession, landing: str, root: str, gap_seconds: int = 1800) -
         events = tables["silver"].to_df().join(users, "user_id", "left_semi")
         sessions = sessionize(events, "user_id", "event_time", gap_seconds, "event_id").groupBy("user_id", "session")
         new = sessions.agg(F.min("event_time").alias("session_start"), F.max("event_time").alias("session_end"), F.count("*").alias("event_count"))
-        tables["gold"].merge(new, "t.user_id = s.user_id AND t.session = s.session").when_matched_update().when_not_matched_insert().execute()
+        # a late event may join sessions: those of these users that are no more go
+        gone = tables["gold"].to_df().join(users, "user_id", "left_semi").join(new.select("user_id", "session"), ["user_id", "session"], "left_anti")
+        source = new.withColumn("gone", F.lit(False)).unionByName(gone.withColumn("gone", F.lit(True)))
+        values = {c: f"s.{c}" for c in new.columns}
+        differs = "NOT (t.session_start <=> s.session_start AND t.session_end <=> s.session_end AND t.event_count <=> s.event_count)"
+        merge = tables["gold"].merge(source, "t.user_id = s.user_id AND t.session = s.session").when_matched_delete("s.gone")
+        merge.when_matched_update(values, differs).when_not_matched_insert(values).execute()
         tables["gold"].append(new.limit(0), txn=("gold", version))  # the mark; the merge itself can be repeated
 
     sinks.TableStream(tables["silver"], tables["gold"], "gold").run(gold)

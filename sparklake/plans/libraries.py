@@ -102,6 +102,16 @@ def scd2_apply(spark, sf):
     return _merged(spark, sf).drop("attr_hash")
 
 
+@add(_HISTORY + "SELECT k, seg, valid_from, valid_to, valid_to IS NULL AS is_current FROM h")
+def scd2_apply_late(spark, sf):
+    """The same states, of which the second day's come last and the third's before the first's."""
+    first, second, third = _states(spark, sf)
+    t = scd.history_table(spark, scratch_path(spark, "scd2"), "k", first, ["seg"], "day")
+    for batch in (third, first, second, first):
+        scd.apply_type2(t, batch, "k", "day", ["seg"])
+    return t.to_df().drop("attr_hash")
+
+
 @add(_HISTORY + "SELECT k, seg FROM h WHERE valid_to IS NULL")
 def scd2_current(spark, sf):
     return scd.type4(_all_states(spark, sf), "k", "day", ["seg"])[0]

@@ -100,7 +100,7 @@ def table_enforcement(spark, sf):
     t = _made(spark, sf)
     t.add_constraint("positive", "id >= 0")
     t.set_nullable("id", False)
-    good = _customers(spark, sf).limit(1)
+    good = _customers(spark, sf)
     tries = {"extra column": good.withColumn("x", F.lit(1)), "wrong type": good.withColumn("bal", F.lit("text")), "check": good.withColumn("id", -1 - F.col("id")), "not null": good.withColumn("id", F.lit(None).cast("long"))}
 
     def refused(df) -> bool:
@@ -170,17 +170,69 @@ def table_restore(spark, sf):
     return t.to_df()
 
 
-@add(
-    f"""WITH c AS ({_C}) SELECT id, seg, 'insert' AS kind, 1::BIGINT AS version FROM c WHERE id <= 50 UNION ALL SELECT id, seg, 'update_preimage', 2 FROM c WHERE id <= 20
-    UNION ALL SELECT id, 'x', 'update_postimage', 2 FROM c WHERE id <= 20 UNION ALL SELECT id, CASE WHEN id <= 20 THEN 'x' ELSE seg END, 'delete', 3 FROM c WHERE id BETWEEN 10 AND 30"""
-)
+_CDF = f"""WITH c AS ({_C}) SELECT id, seg, 'insert' AS kind, 1::BIGINT AS version FROM c UNION ALL SELECT id, seg, 'update_preimage', 2 FROM c WHERE nation <= 8
+    UNION ALL SELECT id, 'x', 'update_postimage', 2 FROM c WHERE nation <= 8 UNION ALL SELECT id, CASE WHEN nation <= 8 THEN 'x' ELSE seg END, 'delete', {{}} FROM c WHERE nation >= 5 AND nation <= 12"""
+
+
+@add(_CDF.format(3))
 def table_cdf(spark, sf):
-    t = _made(spark, sf, "id <= 50", changeFeed="true")
-    t.update({"seg": "'x'"}, "id <= 20")
-    t.delete("id BETWEEN 10 AND 30")
+    t = _made(spark, sf, changeFeed="true")
+    t.update({"seg": "'x'"}, "nation <= 8")
+    t.delete("nation BETWEEN 5 AND 12")
     return t.changes(1).select("id", "seg", F.col("_change_type").alias("kind"), F.col("_commit_version").alias("version"))
 
 
+@add(_CDF.format(4))
+def table_cdf_renamed(spark, sf):
+    """Changes from before a column got its name."""
+    t = _made(spark, sf, changeFeed="true")
+    t.update({"seg": "'x'"}, "nation <= 8")
+    t.rename_column("seg", "segment")
+    t.delete("nation BETWEEN 5 AND 12")
+    return t.changes(1).select("id", F.col("segment").alias("seg"), F.col("_change_type").alias("kind"), F.col("_commit_version").alias("version"))
+
+
+@add("SELECT c_custkey AS id, c_acctbal < 0 AS debt, CASE WHEN c_acctbal < 0 THEN 'NEW' ELSE c_mktsegment END AS seg FROM customer")
+def table_overwrite_by_boolean(spark, sf):
+    """Partitions of a type without minima and maxima."""
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") < 0).alias("debt"), F.col("c_mktsegment").alias("seg"))
+    t = VersionedTable.from_df(rows, scratch_path(spark, "table"), ("debt",))
+    t.overwrite_partitions(rows.where("debt").withColumn("seg", F.lit("NEW")))
+    return t.to_df()
+
+
+@add(f"SELECT id, CASE WHEN nation = 3 THEN 'NEW' ELSE seg END AS seg, bal, nation, TRUE AS skipped FROM ({_C}) WHERE nation <> 4")
+def table_pruned_changes(spark, sf):
+    """MERGE, DELETE and UPDATE on a table in the order of a column read the files that its values are in, and no others."""
+    t = VersionedTable.from_df(_customers(spark, sf).repartitionByRange(8, "nation", "id"), scratch_path(spark, "table"))
+    base = t.snapshot()
+    source = _customers(spark, sf).where("nation = 3")
+    t.merge(source.withColumn("seg", F.lit("NEW")), "t.nation = s.nation AND t.id = s.id").when_matched_update().execute()
+    metrics = t.log.info(t.version)["operationMetrics"]
+    few = metrics["filesSkipped"] > metrics["filesRead"] >= 1
+    t.delete("nation = 4 AND id > 0")
+    t.update({"bal": "bal"}, "nation >= 24")
+    left = len(base.files.keys() & t.snapshot().files.keys())
+    return t.to_df().withColumn("skipped", F.lit(few and left >= len(base.files) // 2))
+
+
+@add("SELECT count(*) AS n, TRUE AS forgotten, TRUE AS refused, 4::BIGINT AS version FROM customer")
+def table_log_retention(spark, sf):
+    """Commits before a checkpoint go once they are older than the retention; the table's state stays, and so do later commits."""
+    t = _made(spark, sf, "false", changeFeed="true", logRetentionHours="0")
+    for k in range(3):
+        t.append(_customers(spark, sf).where(f"id % 3 = {k}"))
+    gone = t.clean_log()
+    try:
+        t.to_df(1)
+        refused = False
+    except ValueError:
+        refused = True
+    t.update({"seg": "lower(seg)"}, "nation = 3")
+    again = VersionedTable.for_path(spark, t.path)
+    return again.to_df().agg(F.count("*").alias("n"), F.lit(gone == [0, 1, 2, 3] and len(again.log.versions()) == 2).alias("forgotten"), F.lit(refused).alias("refused"), F.lit(again.version - 1).cast("long").alias("version"))
+
+
 @add("SELECT 'added' AS kind, c_custkey AS id FROM customer WHERE c_custkey > 700 UNION ALL SELECT 'removed', c_custkey FROM customer WHERE c_custkey < 5")
 def table_version_diff(spark, sf):
     t = _made(spark, sf, "id <= 700")
@@ -238,7 +290,7 @@ def table_clone(spark, sf):
     t = _made(spark, sf)
     deep, shallow = t.clone(scratch_path(spark, "deep")), t.clone(scratch_path(spark, "shallow"), deep=False)
     shallow.delete("id = 1")
-    t.overwrite(_customers(spark, sf).limit(0))
+    t.overwrite(_customers(spark, sf).where("false"))
     return deep.to_df().withColumn("kind", F.lit("deep")).union(shallow.to_df().withColumn("kind", F.lit("shallow")))
 
 

@@ -40,8 +40,21 @@ class _Log:
             return [json.loads(line) for line in f.readall().decode().splitlines()]
 
     def state(self) -> tuple[dict, dict]:
-        meta, files = {}, {}
-        for v in self.versions():
+        """The latest metadata and files: from the last whole checkpoint, and the commits behind it."""
+        meta, files, start = {}, {}, -1
+        found = self.fs.get_file_info(fs.FileSelector(f"{self.root}/_log", recursive=True))
+        whole = [i.path for i in found if i.path.endswith(".checkpoint.parquet/_SUCCESS")]
+        if whole:
+            folder = max(whole).rsplit("/", 1)[0]
+            start = int(folder.rsplit("/", 1)[1][:20])
+            parts = [i.path for i in found if i.path.startswith(folder + "/") and i.path.endswith(".parquet")]
+            for action in pq.read_table(parts, filesystem=self.fs).column("action").to_pylist():
+                ((kind, body),) = json.loads(action).items()
+                if kind == "metaData":
+                    meta = body
+                elif kind == "add":
+                    files[body["path"]] = body
+        for v in (v for v in self.versions() if v > start):
             for a in self.actions(v):
                 ((kind, body),) = a.items()
                 if kind == "metaData":
@@ -66,11 +79,14 @@ class _Reads:
 
         files, path = _open(part.path)
         want = to_arrow_schema(self.schema)
-        have = pq.read_schema(files.open_input_file(path))
-        columns = {f.name: self.physical[f.name] for f in want}
-        table = pq.read_table(path, columns=[c for c in columns.values() if c in have.names], filesystem=files)
-        made = [table.column(c).cast(want.field(n).type) if c in table.column_names else pa.nulls(len(table), want.field(n).type) for n, c in columns.items()]
-        yield from pa.Table.from_arrays(made, schema=want).to_batches()
+        with files.open_input_file(path) as f:
+            held = pq.ParquetFile(f)
+            columns = {f.name: self.physical[f.name] for f in want}
+            have = set(held.schema_arrow.names)
+            # a batch at a time, not the whole file
+            for batch in held.iter_batches(columns=[c for c in columns.values() if c in have]):
+                made = [batch.column(c).cast(want.field(n).type) if c in have else pa.nulls(len(batch), want.field(n).type) for n, c in columns.items()]
+                yield pa.RecordBatch.from_arrays(made, schema=want)
 
 
 class _Batch(_Reads, DataSourceReader):

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparklake.session import materialise
+from sparklake.session import discard, materialise
+from sparklake.table.pruning import matching_files
 
 
 class AmbiguousMatchError(ValueError):
@@ -58,13 +59,16 @@ class Merge:
         return out
 
     def execute(self) -> int:
-        """Commit the merge and return the version. Files without any matched row are left alone, unless unmatched target rows may change."""
+        """Commit the merge and return the version. Files without any matched row are left alone, unless unmatched target rows may change;
+        files whose minima and maxima rule out the source's keys aren't read."""
         table = self.table
         base = table.snapshot()
         snapshot, meta = table._evolved(base, self.source, self.merge_schema, False)
-        source = materialise(self.source, "merge-source").withColumn("_in_s", F.lit(True))
+        held = materialise(self.source, "merge-source")
+        source = held.withColumn("_in_s", F.lit(True))
         everything = list(snapshot.files)
-        target = table._load(snapshot, everything, ("_file", "_row")).withColumn("_in_t", F.lit(True))
+        candidates = matching_files(table, snapshot, held, self.condition)
+        target = table._load(snapshot, candidates, ("_file", "_row")).withColumn("_in_t", F.lit(True))
         on = F.expr(self.condition)
         pairs = target.alias("t").join(source.alias("s"), on).withColumn("_act", self._pick(self.matched, 0))
         per_row = pairs.groupBy("t._file", "t._row").agg(F.count("_act").alias("n"), F.count("*").alias("m"))
@@ -105,12 +109,13 @@ class Merge:
         out = decided.select(F.col("t._file").alias("_file"), F.col("t._row").alias("_row"), kinds.alias("_kind"), F.struct(*new).alias("_new"), old.alias("_old"))
         out = materialise(self._once(out) if any(r.m > 1 for r in per_file) else out, "merge-result")
         counts = {r["_kind"]: r["count"] for r in out.groupBy("_kind").count().collect()}
-        final = out.where("_kind <> 'delete'").select("_new.*")
-        adds = table.stage(snapshot, final)
-        cdc = table._changes_file(snapshot, self._images(out)) if len(counts.keys() - {"keep"}) else []
-        metrics = {"rowsInserted": counts.get("insert", 0), "rowsUpdated": counts.get("update", 0), "rowsDeleted": counts.get("delete", 0)}
-        if not any(metrics.values()):
+        metrics = {"rowsInserted": counts.get("insert", 0), "rowsUpdated": counts.get("update", 0), "rowsDeleted": counts.get("delete", 0), "filesRead": len(candidates), "filesSkipped": len(everything) - len(candidates)}
+        if not counts.keys() - {"keep"}:
+            discard(held, out)
             return base.version
+        adds = table.stage(snapshot, out.where("_kind <> 'delete'").select("_new.*"))
+        cdc = table._changes_file(snapshot, self._images(out))
+        discard(held, out)
         return table.log.commit(base, [*meta, *table.removes(touched), *adds, *cdc], "MERGE", {"condition": self.condition}, metrics)
 
     @staticmethod

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparklake.table.log import ConcurrentWriteError, Log, Snapshot, Store
+from sparklake.table.pruning import predicate_ranges
 
 __all__ = ["ConcurrentWriteError", "ConstraintError", "SchemaError", "VersionedTable"]
 
@@ -25,6 +26,10 @@ _RANGED = (T.IntegralType, T.FloatType, T.DoubleType, T.StringType, T.DateType,
 _WIDER = (("byte", "short", "integer", "long"), ("float", "double"))
 
 
+#: What a partition folder is called whose value is null (Spark's own name for it).
+_NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
 class SchemaError(ValueError):
     pass
 
@@ -41,6 +46,24 @@ def _type(field: dict) -> T.DataType:
     return T.StructType.fromJson({"type": "struct", "fields": [{"name": "x", "type": field["type"], "nullable": True, "metadata": {}}]})[0].dataType
 
 
+def _partition_text(field: dict) -> Column:
+    """A partition value as text that is the same for equal values, in any session."""
+    kind, value = _type(field), F.col(f"`{field['physical']}`")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(value)
+    if isinstance(kind, T.FloatType | T.DoubleType):
+        return (value + F.lit(0).cast(kind)).cast("string")  # -0.0 becomes 0.0
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value).cast("string")
+    return value.cast("string")
+
+
+def _partition_values(path: str) -> list[str | None]:
+    """The values that a staged file's folders are named by."""
+    found = sorted((int(k), v) for k, v in re.findall(r"/_p(\d+)=([^/]*)", path))
+    return [None if v == _NULL_FOLDER else unquote(v)[1:] for _, v in found]
+
+
 def _can_widen(old: T.DataType, new: T.DataType) -> bool:
     if isinstance(old, T.DecimalType) and isinstance(new, T.DecimalType):
         return new.scale >= old.scale and new.precision - new.scale >= old.precision - old.scale
@@ -174,12 +197,12 @@ class VersionedTable:
     def stage(self, snapshot: Snapshot, df: DataFrame, data_change: bool = True, checked: bool = True) -> list[dict]:
         """Write df's rows as data files that no version has yet; the add actions. Constraints are checked on the files."""
         folder = f"data/{uuid.uuid4().hex}"
-        physical, names = self._physical(snapshot, df), {f["name"]: f["physical"] for f in snapshot.meta["fields"]}
-        parts = [names[c] for c in snapshot.meta["partitionBy"]]
+        physical, fields = self._physical(snapshot, df), {f["name"]: f for f in snapshot.meta["fields"]}
+        parts = [fields[c] for c in snapshot.meta["partitionBy"]]
         if parts:
             # the columns stay in the files, so a list of files reads without their folders
             # (as folders, empty strings and nulls would be one, so values get a prefix)
-            held = physical.withColumns({f"_p{i}": F.concat(F.lit("v"), F.col(f"`{c}`").cast("string")) for i, c in enumerate(parts)})
+            held = physical.withColumns({f"_p{i}": F.concat(F.lit("v"), _partition_text(f)) for i, f in enumerate(parts)})
             keys = [f"_p{i}" for i in range(len(parts))]
             # rebalancing splits a hot partition over tasks and puts small ones together
             held.hint("rebalance", *keys).write.partitionBy(*keys).parquet(self.store.full(folder))
@@ -191,7 +214,8 @@ class VersionedTable:
         stats = self._stats(snapshot, [p for p, _ in files])
         if unknown := stats.keys() - {self._relative(p) for p, _ in files}:
             raise RuntimeError(f"rows of files that were not staged: {sorted(unknown)[:3]}")
-        adds = [{"add": {"path": self._relative(p), "size": size, "modificationTime": int(time.time() * 1000), "dataChange": data_change, "stats": stats[self._relative(p)]}} for p, size in files if self._relative(p) in stats]
+        now = int(time.time() * 1000)
+        adds = [{"add": {"path": self._relative(p), "size": size, "modificationTime": now, "dataChange": data_change, "partitionValues": _partition_values(p[len(self.store.full(folder)) :] if p.startswith(self.store.full(folder)) else p), "stats": stats[self._relative(p)]}} for p, size in files if self._relative(p) in stats]
         if checked:
             self.check(snapshot, self._load(snapshot, [a["add"]["path"] for a in adds]))
         return adds
@@ -276,39 +300,40 @@ class VersionedTable:
         staged = self._load(base, [a["add"]["path"] for a in adds])
         if not staged.where(~F.coalesce(test, F.lit(False))).isEmpty():
             raise ConstraintError(f"rows to write don't satisfy {predicate}")
-        touched = self._touched(base, test)
+        touched = self._touched(base, predicate)
         kept = self._load(base, touched).where(~F.coalesce(test, F.lit(False)))
         return self.log.commit(base, [*self.removes(touched), *self.stage(base, kept, checked=False), *adds], "REPLACE WHERE", {"predicate": predicate})
 
     def overwrite_partitions(self, df: DataFrame) -> int:
-        """Replace the partitions that df has rows of, and no others."""
+        """Replace the partitions that df has rows of, and no others. A partition's values are in the log, whatever their type."""
         base = self.snapshot()
-        names = {f["name"]: f["physical"] for f in base.meta["fields"]}
-        parts = [names[c] for c in base.meta["partitionBy"]]
-        if not parts:
+        if not base.meta["partitionBy"]:
             raise SchemaError("the table has no partition columns")
         adds = self.stage(base, df)
-        key = lambda a: tuple(a["stats"]["min"].get(c) for c in parts)  # noqa: E731  one value in each file
-        mine = {key(a["add"]) for a in adds}
-        return self.log.commit(base, [*self.removes(p for p, a in base.files.items() if key(a) in mine), *adds], "OVERWRITE PARTITIONS", {})
-
-    def _touched(self, snapshot: Snapshot, test: Column) -> list[str]:
-        """Files with a row for which the test is true; the list is of files, never of rows."""
-        found = self._load(snapshot, list(snapshot.files), ("_file",)).where(test).select("_file").distinct().collect()
+        key = lambda path, add: tuple(add["partitionValues"] if "partitionValues" in add else _partition_values(path))
+        mine = {key(a["add"]["path"], a["add"]) for a in adds}
+        return self.log.commit(base, [*self.removes(p for p, a in base.files.items() if key(p, a) in mine), *adds], "OVERWRITE PARTITIONS", {})
+
+    def _touched(self, snapshot: Snapshot, predicate: str) -> list[str]:
+        """Files with a row for which the predicate is true, of those whose minima and maxima allow one; the list is of files, never of rows."""
+        may = self.candidate_files(snapshot, predicate_ranges(self.spark, predicate, self.schema_of(snapshot)))
+        found = self._load(snapshot, may, ("_file",)).where(F.expr(predicate)).select("_file").distinct().collect()
         return [self._of_metadata(r["_file"]) for r in found]
 
     def _changes_file(self, snapshot: Snapshot, df: DataFrame) -> list[dict]:
-        """Write change rows (the table's columns and _change_type) if the change feed is on."""
+        """Write change rows (the table's columns and _change_type) if the change feed is on. Columns get their physical names, which stay when
+        one is renamed."""
         if snapshot.meta["properties"].get(CHANGE_FEED) != "true":
             return []
         folder = f"_change_data/{uuid.uuid4().hex}"
-        df.write.parquet(self.store.full(folder))
-        return [{"cdc": {"path": folder}}]
+        names = {f["name"]: f["physical"] for f in snapshot.meta["fields"]}
+        df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns]).write.parquet(self.store.full(folder))
+        return [{"cdc": {"path": folder, "physical": True}}]
 
     def delete(self, predicate: str) -> int:
         base = self.snapshot()
         test = F.coalesce(F.expr(predicate), F.lit(False))
-        touched = self._touched(base, test)
+        touched = self._touched(base, predicate)
         rows = self._load(base, touched)
         cdc = self._changes_file(base, rows.where(test).withColumn("_change_type", F.lit("delete"))) if touched else []
         return self.log.commit(base, [*self.removes(touched), *self.stage(base, rows.where(~test), checked=False), *cdc], "DELETE", {"predicate": predicate})
@@ -317,7 +342,7 @@ class VersionedTable:
         """SET column = SQL expression for rows where the predicate is true."""
         base = self.snapshot()
         test = F.coalesce(F.expr(predicate), F.lit(False))
-        touched = self._touched(base, test)
+        touched = self._touched(base, predicate)
         rows = self._load(base, touched)
         kinds = {f.name: f.dataType for f in self.schema_of(base)}
         new = [F.when(test, F.expr(assignments[c])).otherwise(F.col(f"`{c}`")).cast(kinds[c]).alias(c) if c in assignments else F.col(f"`{c}`") for c in rows.columns]
@@ -438,13 +463,18 @@ class VersionedTable:
         """
         end = self.version if end is None else end
         latest = self.snapshot(end)
-        names = [f["name"] for f in latest.meta["fields"]]
+        kinds = {f.name: f.dataType for f in self.schema_of(latest)}
         out = self.spark.createDataFrame([], self.schema_of(latest)).withColumns({"_change_type": F.lit(""), "_commit_version": F.lit(0).cast("long")})
         for v in range(start, end + 1):
             actions = self.log.actions(v)
-            recorded = [self.store.full(a["cdc"]["path"]) for a in actions if "cdc" in a]
+            recorded = [a["cdc"] for a in actions if "cdc" in a]
             if recorded:
-                parts = [self.spark.read.parquet(*recorded)]
+                parts = []
+                for cdc in recorded:
+                    part = self.spark.read.parquet(self.store.full(cdc["path"]))
+                    stored = {f["name"]: f["physical"] if cdc.get("physical") else f["name"] for f in latest.meta["fields"]}
+                    columns = [F.col(f"`{c}`").cast(kinds[name]).alias(name) for name, c in stored.items() if c in part.columns]
+                    parts.append(part.select(*columns, "_change_type"))
             else:
                 parts = []
                 for kind, action in (("insert", "add"), ("delete", "remove")):
@@ -452,7 +482,6 @@ class VersionedTable:
                     if paths:
                         parts.append(self._load(latest, paths).withColumn("_change_type", F.lit(kind)))
             for part in parts:
-                part = part.select(*[c for c in part.columns if c in names or c == "_change_type"])
                 out = out.unionByName(part.withColumn("_commit_version", F.lit(v).cast("long")), allowMissingColumns=True)
         return out
 
@@ -486,17 +515,30 @@ class VersionedTable:
         return {"filesBefore": before, "filesAfter": len(self.snapshot().files), "vacuumed": len(self.vacuum(retain_hours))}
 
     def vacuum(self, retain_hours: float = 168, dry_run: bool = False, force: bool = False) -> list[str]:
-        """Delete data files that no version needs that is younger than the horizon; the files (to be) deleted."""
+        """Delete files of rows and of changes that no version needs that is younger than the horizon; the files (to be) deleted."""
         if retain_hours < 168 and not force:
             raise ValueError("less than 168 hours may delete files that readers or writers still use; pass force to do it")
         s, horizon = self.snapshot(), time.time() * 1000 - retain_hours * 3_600_000
         needed = set(s.files) | {p for p, at in s.removed.items() if at > horizon}
-        stale = [p for p, _, changed in self.store.list("data", recursive=True) if p.endswith(".parquet") and changed <= horizon and self._relative(p) not in needed]
+        files = self.store.list("data", recursive=True) + self.store.list("_change_data", recursive=True)
+        stale = [p for p, _, changed in files if p.endswith(".parquet") and changed <= horizon and self._relative(p) not in needed]
         if not dry_run:
             for p in stale:
                 self.store.delete(p)
         return [self._relative(p) for p in stale]
 
+    def clean_log(self, retain_hours: float | None = None) -> list[int]:
+        """Write a checkpoint and delete commits before it that are older than the retention (the property ``logRetentionHours``, 720 by
+        default); the versions that can't be read any more."""
+        s = self.snapshot()
+        hours = float(s.meta["properties"].get("logRetentionHours", 720)) if retain_hours is None else retain_hours
+        horizon = time.time() * 1000 - hours * 3_600_000
+        old = [v for v in sorted(self.log.versions()) if v < s.version and self.log.info(v)["timestamp"] <= horizon]
+        if old:
+            self.log.checkpoint(s)
+            self.log.forget(old, s.version)
+        return old
+
 
 def z_value(df: DataFrame, columns: tuple[str, ...], bits: int = 8) -> Column:
     """Each column's rank among 2**bits quantiles, bits interleaved; nulls rank lowest. Up to seven columns."""
