@@ -43,10 +43,17 @@ def selective_salted_join(big: DataFrame, small: DataFrame, key: str, row_keys:
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def hot_split_join(big: DataFrame, small: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
-    """Inner join with hot keys taken apart: their few rows of ``small`` (one key each) are broadcast, the rest is shuffled."""
+#: Rows of ``small`` with a hot key that ``hot_split_join`` broadcasts, at most.
+BROADCAST_ROWS = 100_000
+
+
+def hot_split_join(big: DataFrame, small: DataFrame, key: str, row_keys: tuple[str, ...], hot: DataFrame | None = None, salts: int = 16) -> DataFrame:
+    """Inner join with hot keys taken apart: their rows of ``small`` are broadcast if they are counted to be at most ``BROADCAST_ROWS``, else the hot part
+    is a salted join; the rest is shuffled."""
     hot = F.broadcast(hot_keys(big, key) if hot is None else hot)
-    at_hot = big.join(hot, key, "left_semi").join(F.broadcast(small.join(hot, key, "left_semi")), key)
+    big_hot, small_hot = big.join(hot, key, "left_semi"), small.join(hot, key, "left_semi")
+    few = small_hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    at_hot = big_hot.join(F.broadcast(small_hot), key) if few else salted_join(big_hot, small_hot, key, row_keys, salts)
     return at_hot.unionByName(big.join(hot, key, "left_anti").join(small, key))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,12 +55,44 @@ def sessionize(df: DataFrame, key: str, at: str, gap_seconds: int, tie: str) ->
     return df.withColumn("_s", starts).withColumn("session", F.sum("_s").over(w)).drop("_s")
 
 
-def exponential_mean(df: DataFrame, key: str, order: list[str], value: str, alpha: float, name: str = "ewm") -> DataFrame:
+def exponential_mean(df: DataFrame, key: str, order: list[str], value: str, alpha: float, name: str = "ewm", slices: str | None = None) -> DataFrame:
     """df with the exponentially weighted mean so far: m = alpha * value + (1 - alpha) * m before, from the first value on. Null values keep m.
 
-    The fold runs over a key's earlier values in one window frame, so a key's rows should be few thousand at most.
+    With d = 1 - alpha, the n-th value's mean is a sum of value * d**-j over the values so far, times d**n. Values are
+    numbered in blocks in which d**-j stays below 1e200, so running sums serve; what came before the last block weighs less than a double
+    can tell. Linear in a key's rows. For hot keys, ``slices`` is a monotonic SQL expression of the first ``order`` column ``_t`` (say
+    ``date_trunc('day', _t)``): a key is then sorted in slices, and sums are carried on one row for each key, slice and block.
     """
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    start = F.lit(None).cast("double")
-    fold = F.aggregate(F.collect_list(value).over(w), start, lambda m, x: F.when(m.isNull(), x.cast("double")).otherwise(alpha * x + (1 - alpha) * m))
-    return df.withColumn(name, fold)
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must be between 0 and 1")
+    decay = 1 - alpha
+    block = max(1, int(math.log(1e-200) / math.log(decay)))
+    held = df.select(F.struct(*df.columns).alias("_row"), F.col(key).alias("_k"), F.col(value).cast("double").alias("_v"), F.col(order[0]).alias("_t"), F.struct(*order).alias("_o"))
+    held = held.withColumn("_s", F.expr(slices) if slices else F.lit(0))
+    by_slice = held.groupBy("_k", "_s").agg(F.count("_v").alias("_c"), F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col("_o"))).alias("_x"))
+    before = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)
+    # values of the key before the slice, and the key's first value
+    starts = by_slice.select(F.col("_k").alias("_k2"), F.col("_s").alias("_s2"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_n0"), F.first("_x", ignorenulls=True).over(upto).alias("_x0"))
+    placed = held.join(starts, F.col("_k").eqNullSafe(F.col("_k2")) & F.col("_s").eqNullSafe(F.col("_s2"))).drop("_k2", "_s2")
+    running = Window.partitionBy("_k", "_s").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("_n", F.col("_n0") + F.count("_v").over(running))
+    # a null behind a block's last value belongs to that block
+    placed = placed.withColumns({"_b": F.floor(F.greatest(F.col("_n") - 1, F.lit(0)) / block), "_j": F.pmod(F.greatest(F.col("_n") - 1, F.lit(0)), F.lit(block))})
+    placed = placed.withColumn("_w", F.col("_v") * F.pow(F.lit(decay), -F.col("_j")))
+    in_block = Window.partitionBy("_k", "_s", "_b").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("_sum", F.coalesce(F.sum("_w").over(in_block), F.lit(0.0)))
+    parts = placed.groupBy("_k", "_b", "_s").agg(F.sum("_w").alias("_p"))
+    earlier = Window.partitionBy("_k", "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_p").over(earlier), F.lit(0.0)))
+    whole = parts.groupBy("_k", "_b").agg(F.sum("_p").alias("_total")).withColumn("_last", F.lag("_total").over(Window.partitionBy("_k").orderBy("_b")))
+    parts = parts.join(whole.select(F.col("_k").alias("_k2"), F.col("_b").alias("_b2"), "_last"), F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_b") == F.col("_b2")))
+    parts = parts.select(F.col("_k").alias("_k2"), F.col("_s").alias("_s2"), F.col("_b").alias("_b2"), "_before", "_last")
+    on = F.col("_k").eqNullSafe(F.col("_k2")) & F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_b") == F.col("_b2"))
+    found = placed.join(parts, on)
+    # the mean before a block: the first value stands before the first
+    end = alpha * F.pow(F.lit(decay), F.lit(block - 1)) * F.col("_last")
+    end = F.when(F.col("_b") == 1, end + F.pow(F.lit(decay), F.lit(block)) * F.col("_x0")).otherwise(end)
+    carried = F.when(F.col("_b") == 0, F.col("_x0")).otherwise(end)
+    mean = alpha * F.pow(F.lit(decay), F.col("_j")) * (F.col("_sum") + F.col("_before")) + F.pow(F.lit(decay), F.col("_j") + 1) * carried
+    return found.select("_row.*", F.when(F.col("_n") > 0, mean).alias(name))

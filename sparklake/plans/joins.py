@@ -20,13 +20,12 @@ def _orders(spark, sf):
 
 
 def _sides(spark, sf):
-    """Keys that only one side has: customers below 1000, orders of customers from 500."""
-    customers = _customers(spark, sf).where("c_custkey < 1000").withColumnRenamed("c_custkey", "k").select("k", "c_name")
-    orders = _orders(spark, sf).where("o_custkey >= 500").withColumnRenamed("o_custkey", "k").select("k", "o_orderkey")
-    return customers, orders
+    """Keys that only one side has: those of the building segment's customers are negated."""
+    key = F.when(F.col("c_mktsegment") == "BUILDING", -F.col("c_custkey")).otherwise(F.col("c_custkey"))
+    return _customers(spark, sf).select(key.alias("k"), "c_name"), _orders(spark, sf).select(F.col("o_custkey").alias("k"), "o_orderkey")
 
 
-_SIDES = "WITH c AS (SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey < 1000), o AS (SELECT o_custkey AS k, o_orderkey FROM orders WHERE o_custkey >= 500) "
+_SIDES = "WITH c AS (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN -c_custkey ELSE c_custkey END AS k, c_name FROM customer), o AS (SELECT o_custkey AS k, o_orderkey FROM orders) "
 
 
 @add("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -82,29 +81,24 @@ def _hinted(hint):
 for _name, _hint in (("join_broadcast", "broadcast"), ("join_sortmerge", "merge"), ("join_shuffle_hash", "shuffle_hash")):
     QUERIES.add("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1", _name)(_hinted(_hint))
 
-#: Ranges of 40 ids that begin at every 25th event id.
-_RANGES = "(SELECT event_id AS range_id, event_id::DOUBLE AS lo, event_id + 40.0 AS hi, user_id AS owner FROM events WHERE event_id % 25 = 0)"
+#: Price bands.
+_BANDS = ((1, 0.0, 999.99), (2, 1000.0, 49999.99), (3, 50000.0, 149999.99), (4, 100000.0, 249999.99), (5, 250000.0, 1e12))
+_BAND_SQL = f"(VALUES {', '.join(f'({n}, {lo}::DOUBLE, {hi}::DOUBLE)' for n, lo, hi in _BANDS)}) b(band, lo, hi)"
 
 
-def _ranges(spark, sf):
-    events = table(spark, sf, "events")
-    ranges = events.where("event_id % 25 = 0").selectExpr("event_id AS range_id", "double(event_id) AS lo", "event_id + 40.0D AS hi", "user_id AS owner")
-    return events.where("event_id % 3 = 0").select("event_id"), ranges
-
-
-_RANGE_SQL = f"SELECT event_id, range_id FROM events JOIN {_RANGES} ON event_id BETWEEN lo AND hi WHERE event_id % 3 = 0"
-
-
-@add(_RANGE_SQL)
+@add(f"SELECT o_orderkey, band FROM orders JOIN {_BAND_SQL} ON o_totalprice BETWEEN lo AND hi")
 def join_range(spark, sf):
-    points, ranges = _ranges(spark, sf)
-    return points.join(ranges, F.col("event_id").between(F.col("lo"), F.col("hi"))).select("event_id", "range_id")
+    """Ranges that overlap, a few whatever the input."""
+    bands = spark.createDataFrame(_BANDS, "band int, lo double, hi double")
+    return _orders(spark, sf).join(F.broadcast(bands), F.col("o_totalprice").between(F.col("lo"), F.col("hi"))).select("o_orderkey", "band")
 
 
-@add(_RANGE_SQL)
+@add("SELECT p.event_id, r.event_id AS range_id FROM events p JOIN events r ON p.event_id BETWEEN r.event_id AND r.event_id + 3 + r.user_id % 5")
 def join_range_bucketed(spark, sf):
-    points, ranges = _ranges(spark, sf)
-    return temporal.range_join(points, ranges, "event_id", "lo", "hi", 40).select("event_id", "range_id")
+    """A range from every event."""
+    events = table(spark, sf, "events")
+    ranges = events.selectExpr("event_id AS range_id", "event_id AS lo", "event_id + 3 + user_id % 5 AS hi")
+    return temporal.range_join(events.select("event_id"), ranges, "event_id", "lo", "hi", 8).select("event_id", "range_id")
 
 
 _ASOF = """SELECT c.event_id, p.ts AS bought_at, p.value AS bought FROM (SELECT * FROM events WHERE event_type = 'click') c
@@ -163,7 +157,7 @@ def join_salted_selective(spark, sf):
 
 @add(_SKEW_SQL)
 def join_hot_split(spark, sf):
-    return _totals(skew.hot_split_join(*_skewed(spark, sf), "u"))
+    return _totals(skew.hot_split_join(*_skewed(spark, sf), "u", ("event_id",)))
 
 
 @add(_SKEW_SQL)
@@ -179,14 +173,14 @@ def preagg_join(spark, sf):
 
 
 @add(
-    """WITH a AS (SELECT event_id, nullif(event_type, 'view') AS k FROM events WHERE event_id < 500), b AS (SELECT DISTINCT nullif(event_type, 'view') AS k FROM events)
+    """WITH a AS (SELECT event_id, nullif(event_type, 'view') AS k FROM events), b AS (SELECT DISTINCT nullif(event_type, 'view') AS k FROM events)
     SELECT 'inner' AS kind, count(*) AS n FROM a JOIN b USING (k) UNION ALL SELECT 'anti', count(*) FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k = a.k)"""
 )
 def join_null_keys(spark, sf):
     events = table(spark, sf, "events").select("event_id", F.nullif("event_type", F.lit("view")).alias("k"))
-    a, b = events.where("event_id < 500"), events.select("k").distinct()
-    inner = a.join(b, "k").agg(F.lit("inner").alias("kind"), F.count("*").alias("n"))
-    return inner.union(a.join(b, "k", "left_anti").agg(F.lit("anti"), F.count("*")))
+    known = events.select("k").distinct()
+    inner = events.join(known, "k").agg(F.lit("inner").alias("kind"), F.count("*").alias("n"))
+    return inner.union(events.join(known, "k", "left_anti").agg(F.lit("anti"), F.count("*")))
 
 
 @add("SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE user_id % 3 = 0)")

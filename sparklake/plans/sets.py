@@ -13,10 +13,12 @@ add = QUERIES.add
 
 def _two(spark, sf):
     c = table(spark, sf, "customer")
-    return c.where("c_custkey < 900").select("c_nationkey", "c_mktsegment"), c.where("c_custkey > 600 AND c_nationkey < 20").select("c_nationkey", "c_mktsegment")
+    rich = F.when(F.col("c_acctbal") > 5000, "RICH").otherwise(F.col("c_mktsegment")).alias("c_mktsegment")
+    return c.select("c_nationkey", "c_mktsegment"), c.select(F.nullif("c_nationkey", F.lit(7)).alias("c_nationkey"), rich)
 
 
-_A, _B = "SELECT c_nationkey, c_mktsegment FROM customer WHERE c_custkey < 900", "SELECT c_nationkey, c_mktsegment FROM customer WHERE c_custkey > 600 AND c_nationkey < 20"
+_A = "SELECT c_nationkey, c_mktsegment FROM customer"
+_B = "SELECT nullif(c_nationkey, 7) AS c_nationkey, CASE WHEN c_acctbal > 5000 THEN 'RICH' ELSE c_mktsegment END AS c_mktsegment FROM customer"
 
 
 @add(f"{_A} UNION ALL {_B}")

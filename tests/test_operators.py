@@ -1,5 +1,7 @@
 """Composed operators: equal to the plain form, and their edge cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def test_salted_joins_equal_the_plain_one(sides, how):
     assert sorted(map(str, skew.salted_join(big, small, "k", ("id",), how=how).collect())) == want
     assert sorted(map(str, skew.selective_salted_join(big, small, "k", ("id",), how=how).collect())) == want
     if how == "inner":
-        assert sorted(map(str, skew.hot_split_join(big, small, "k").collect())) == want
+        assert sorted(map(str, skew.hot_split_join(big, small, "k", ("id",)).collect())) == want
 
 
 def test_salted_joins_refuse_full_outer(sides):
@@ -89,3 +91,30 @@ def test_quality_report(spark):
     assert {r.id: r["_dq_reasons"] for r in bad.collect()} == {2: ["amount"], 3: ["email"]}
     assert not dq.run(df.limit(0), rules).has_errors and dq.row_count_within(df, 1, 4)
     assert dq.rules_from([{"name": "x", "predicate": "id > 0"}])[0].severity == "error"
+
+
+def test_hot_split_join_salts_what_is_too_much_to_broadcast(sides, monkeypatch):
+    big, small = sides
+    many = small.union(small).union(small)
+    want = sorted(map(str, big.join(many, "k").collect()))
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 2)
+    assert sorted(map(str, skew.hot_split_join(big, many, "k", ("id",)).collect())) == want
+
+
+@pytest.mark.parametrize("alpha", [0.05, 0.3, 0.999])
+@pytest.mark.parametrize("slices", [None, "floor(_t / 100)"])
+def test_exponential_mean_is_a_fold(spark, alpha, slices):
+    r = random.Random(4)
+    rows = [(i, r.choice(["hot", "hot", "hot", "a", None]), i // 3, None if r.random() < 0.2 else r.uniform(-50, 100)) for i in range(2500)]
+    rows += [(5000 + i, "late", i, None if i < 150 else float(i)) for i in range(400)] + [(9000, "none", 1, None)]
+    mean, want = {}, {}
+    for i, k, t, v in sorted(rows, key=lambda x: (x[2], x[0])):
+        if v is not None:
+            mean[k] = v if mean.get(k) is None else alpha * v + (1 - alpha) * mean[k]
+        want[i] = mean.get(k)
+    df = spark.createDataFrame(rows, "i long, k string, t long, v double")
+    got = {x.i: x.m for x in temporal.exponential_mean(df, "k", ["t", "i"], "v", alpha, "m", slices).collect()}
+    assert got.keys() == want.keys()
+    assert all((got[i] is None) == (w is None) and (w is None or abs(got[i] - w) < 1e-9 * max(1, abs(w))) for i, w in want.items())
+    with pytest.raises(ValueError, match="alpha"):
+        temporal.exponential_mean(df, "k", ["t"], "v", 1.0)
