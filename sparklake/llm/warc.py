@@ -3,9 +3,11 @@
 An ARC file opens with a version block that names the fields of its record headers (version 1: URL, IP-address,
 Archive-date, Content-type, Archive-length; version 2 adds result code, checksum, location, offset and filename). The
 parser follows those fields and each record's declared length. Converted records get a WARC identifier derived from their place and
-content, an ISO date, a type by URL scheme and content, and SHA-1 digests of block and payload.
-Archives are written by Spark's own text writer (a record with ``\\r\\n\\r\\n`` as line separator is exactly a WARC file), so they
-reach any file system that Spark knows and failed tasks leave nothing behind.
+content, an ISO date, a type by URL scheme and content, and SHA-1 digests of block and payload; content types and addresses are
+kept, and each version block becomes the warcinfo record that the archive's other records name.
+Archives are written by Spark's own text writer, so they reach any file system that Spark knows and failed tasks leave nothing
+behind. Each record is a gzip member: the last byte of a member's length is 0 below 16 MB, and that byte is the writer's line
+separator (a longer member is followed by one such byte, which is the padding that gzip allows).
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
@@ -33,8 +36,8 @@ ARC_FIELDS = {
 }
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 1000
-#: Records of one archive file, at most.
-FILE_RECORDS = 2000
+#: Records of one archive file, and bytes of payload if none is larger, at most.
+FILE_RECORDS, FILE_BYTES = 2000, 256 << 20
 CRLF = b"\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID_HEADER, _SIZE_HEADER, _REFERS_HEADER = "WARC-Source-Row", "WARC-Payload-Length", "WARC-Refers-To-Source-Row"
@@ -138,10 +141,38 @@ def warc_record(kind: str, headers: dict[str, str | None], block: bytes) -> byte
     return b"WARC/1.1\r\n" + "\r\n".join(lines).encode("utf-8", "surrogateescape") + CRLF + CRLF + block
 
 
+def members(raw: bytes) -> Iterator[bytes]:
+    """The contents of each gzip member, one at a time; plain data as it is."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    at = 0
+    while at < len(raw):
+        opened, parts = zlib.decompressobj(31), []
+        while not opened.eof:
+            if at >= len(raw):
+                raise ValueError("a gzip member is cut off")
+            chunk = raw[at : at + (1 << 16)]
+            parts.append(opened.decompress(chunk))
+            at += len(chunk) - len(opened.unused_data)
+        yield b"".join(parts)
+        while at < len(raw) and raw[at] == 0:
+            at += 1
+
+
+def member(data: bytes) -> bytes:
+    """A gzip member that, with one zero byte behind it, is whole; equal data give equal bytes."""
+    packed = gzip.compress(data, mtime=0)
+    return packed[:-1] if packed[-1] == 0 else packed
+
+
 def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record, by declared lengths; header names in lower case."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
+    """(headers, block) of each record, by declared lengths; header names in lower case. A gzip member holds whole records."""
+    for part in members(raw):
+        yield from _warc_records(part)
+
+
+def _warc_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(raw):
         if raw[at : at + 1] in b"\r\n":
@@ -167,7 +198,7 @@ def _clean(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else "-"
 
 
-RECORDS = "row long, url string, date string, type string, http binary, payload binary, digest string, record_id string"
+RECORDS = "row long, url string, date string, type string, mime string, ip string, http binary, payload binary, digest string, record_id string, info_id string"
 
 
 def arc_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -192,24 +223,32 @@ def arc_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def convert_arc(archives: DataFrame, name_col: str = "name", content_col: str = "content") -> DataFrame:
-    """The WARC equivalents of all records of ARC archives: row (X-Source-Row, if any), url, date, type, http, payload, digest, record_id.
+    """The WARC equivalents of all records of ARC archives: row (X-Source-Row, if any), url, date, type, mime, ip, http, payload, digest, record_id, info_id.
 
-    Version blocks are left out: they describe the old file. Null and empty archives have no records; malformed ones raise.
+    A version block becomes a warcinfo record of its lines. Null and empty archives have no records; malformed ones raise.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, raw in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                out = []
+                out, info = [], None
                 for r in parse_arc(raw or b""):
+                    record_id = _urn(f"{name}/{r.offset}/{r.url}/{r.date}")
+                    mime, ip = r.fields.get("Content-type"), r.fields.get("IP-address")
                     if r.warc_type == "warcinfo":
+                        info = record_id
+                        lines = r.block.decode("utf-8", "replace").splitlines()
+                        fields = {"software": "sparklake", "format": "WARC File Format 1.1", "isPartOf": r.url.removeprefix("filedesc://"), "arc-version-block": " / ".join(x for x in lines if x)}
+                        payload = "".join(f"{k}: {v}\r\n" for k, v in fields.items()).encode()
+                        out.append((None, "-", r.date, "warcinfo", "application/warc-fields", None, b"", payload, sha1_digest(payload), record_id, None))
                         continue
                     http, payload = r.parts()
                     row = re.search(rb"(?im)^X-Source-Row: *(-?\d+)\r?$", http)
-                    out.append((int(row[1]) if row else None, r.url, r.date, r.warc_type, http, payload, sha1_digest(payload), _urn(f"{name}/{r.offset}/{r.url}/{r.date}")))
-                cols = zip(*out, strict=True) if out else [[]] * 8
-                types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string(), pa.string())
-                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["row", "url", "date", "type", "http", "payload", "digest", "record_id"])
+                    out.append((int(row[1]) if row else None, r.url, r.date, r.warc_type, mime, ip, http, payload, sha1_digest(payload), record_id, info))
+                text, data = pa.string(), pa.binary()
+                types = (pa.int64(), text, text, text, text, text, data, data, text, text, text)
+                cols = zip(*out, strict=True) if out else [[]] * len(types)
+                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], [c.split()[0] for c in RECORDS.split(", ")])
 
     return archives.select(F.col(name_col).alias("name"), F.col(content_col).alias("content")).mapInArrow(run, RECORDS)
 
@@ -218,8 +257,9 @@ def mark_revisits(records: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """records with ref_row, ref_id, ref_url, ref_date: of equal payloads of at least ``least`` bytes, the record with the largest row stays.
 
     Only digests that repeat are joined. Null rows come before all others; records that tie with the largest row all stay.
+    Warcinfo records stay as they are.
     """
-    large = F.octet_length("payload") >= least
+    large = (F.octet_length("payload") >= least) & (F.col("type") != "warcinfo")
     key = F.struct(F.coalesce("row", F.lit(-(1 << 63))).alias("row"), "record_id", "url", "date")
     kept = records.where(large).groupBy("digest").agg(F.max(key).alias("_kept"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     found = records.join(kept, "digest", "left")
@@ -227,8 +267,8 @@ def mark_revisits(records: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     return found.select(*records.columns, *[F.when(late, F.col(f"_kept.{c}")).alias(f"ref_{n}") for c, n in (("row", "row"), ("record_id", "id"), ("url", "url"), ("date", "date"))])
 
 
-def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Archives of the marked records under ``path``: revisits keep their HTTP headers and refer to the stored record."""
+def write_warc(records: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
+    """Archives of the marked records under ``path``, a gzip member each: revisits keep their HTTP headers and refer to the stored record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,29 +278,42 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
                     "WARC-Record-ID": r["record_id"],
                     "WARC-Date": r["date"],
                     "WARC-Target-URI": None if r["url"] == "-" else r["url"],
+                    "WARC-IP-Address": r["ip"] if r["ip"] not in ("", "-", "0.0.0.0") else None,
+                    "WARC-Warcinfo-ID": r["info_id"],
                     _ID_HEADER: None if r["row"] is None else str(r["row"]),
                     "WARC-Payload-Digest": r["digest"],
                     _SIZE_HEADER: str(len(r["payload"])),
-                    "Content-Type": "application/http; msgtype=response" if r["http"] else "application/octet-stream",
+                    "Content-Type": "application/http; msgtype=response" if r["http"] else r["mime"] if r["mime"] not in (None, "", "-", "no-type") else "application/octet-stream",
                 }
                 kind, block = r["type"], r["http"] + r["payload"]
                 if r["ref_id"] is not None:
                     kind, block = "revisit", r["http"]
                     headers |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": r["ref_id"], "WARC-Refers-To-Target-URI": r["ref_url"], "WARC-Refers-To-Date": r["ref_date"], _REFERS_HEADER: str(r["ref_row"])}
-                out.append(warc_record(kind, headers, block))
+                out.append(member(warc_record(kind, headers, block) + CRLF + CRLF))
             yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
 
     lines = records.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    lines.write.option("lineSep", "\0").option("maxRecordsPerFile", file_records).text(path)
+
+
+READ = "row long, url string, record_type string, content_type string, ip string, record_id string, warcinfo_id string, payload_digest string, payload_bytes long, refers_to string, refers_to_row long, payload binary"
+#: Records that a reader sends at once.
+READ_RECORDS = 200
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(row, url, record_type, record_id, payload_digest, payload_bytes, refers_to, refers_to_row, payload) of each record under ``path``.
+    """(row, url, record_type, content_type, ip, record_id, warcinfo_id, payload_digest, payload_bytes, refers_to, refers_to_row, payload) of each record under ``path``.
 
     Digest and size of a response are computed from its block and must equal what its headers declare; a revisit has
     those of the payload that it stands for, and no payload.
     """
 
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        text, size = pa.string(), pa.int64()
+        types = (size, text, text, text, text, text, text, text, size, text, size, pa.binary())
+        cols = zip(*out, strict=True) if out else [[]] * len(types)
+        return pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], [c.split()[0] for c in READ.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column("content").to_pylist():
@@ -276,20 +329,23 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     else:
                         digest, size = sha1_digest(payload), len(payload)
                     hexed = base64.b32decode(digest.partition(":")[2]).hex() if digest else None
-                    out.append((number(_ID_HEADER), h.get("warc-target-uri"), h["warc-type"], h.get("warc-record-id"), hexed, size, h.get("warc-refers-to"), number(_REFERS_HEADER), payload))
-                types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
-                cols = zip(*out, strict=True) if out else [[]] * len(types)
-                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], ["row", "url", "record_type", "record_id", "payload_digest", "payload_bytes", "refers_to", "refers_to_row", "payload"])
+                    out.append((number(_ID_HEADER), h.get("warc-target-uri"), h["warc-type"], h.get("content-type"), h.get("warc-ip-address"), h.get("warc-record-id"), h.get("warc-warcinfo-id"), hexed, size, h.get("warc-refers-to"), number(_REFERS_HEADER), payload))
+                    if len(out) >= READ_RECORDS:
+                        yield batch_of(out)
+                        out = []
+                yield batch_of(out)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, "row long, url string, record_type string, record_id string, payload_digest string, payload_bytes long, refers_to string, refers_to_row long, payload binary")
+    return files.mapInArrow(run, READ)
 
 
 def archive_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Convert the pages' legacy archives to WARC files under ``path`` and read those back: see ``read_warc``.
+    """Convert the pages' legacy archives to WARC files under ``path`` and read the pages' records back: see ``read_warc``.
 
-    Null payloads and URLs are empty; repeated rows are records like others, and rows without an id come back with a null row.
+    Null payloads and URLs are empty; repeated rows are records like others, and rows without an id come back with a null row. Of
+    several records of the largest id all are responses. Payloads may be as long as a Spark value (2 GB with their headers): files hold fewer records then.
+    Other columns are left out, so none can clash. An empty table gives no rows.
     """
-    write_warc(mark_revisits(convert_arc(arc_archives(pages, id_col, url_col, payload_col))), path)
-    return read_warc(pages.sparkSession, path)
-
+    longest = pages.agg(F.coalesce(F.max(F.octet_length(payload_col)), F.lit(0))).first()[0]
+    write_warc(mark_revisits(convert_arc(arc_archives(pages, id_col, url_col, payload_col))), path, max(1, min(FILE_RECORDS, FILE_BYTES // max(longest, 1))))
+    return read_warc(pages.sparkSession, path).where("record_type <> 'warcinfo'")
