@@ -10,12 +10,12 @@ the posterior probability of the set's likelihood against the best other single
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +29,9 @@ SLICES = 64
 #: Languages whose counts a task holds at once.
 HELD_LANGS = 64
 ROUNDS, FLOOR = 8, 1e-6
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages that a model may know: 256 KB each on the driver and on every executor.
+MAX_LANGS = 1000
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _gram_types(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -130,17 +132,22 @@ def infer(scores: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def sample(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(lang, text) of at most ``rows`` labelled texts with a letter for each language, whole: those whose hashed order comes first, so reruns agree."""
-    key = F.xxhash64(F.lit(7), "id")
-    order = (key, "id")
+    """(lang, text) of at most ``rows`` labelled texts with a letter for each language, whole: those whose hashed order comes first, so reruns agree.
+
+    Rows that are equal in language, id and text count once. More than MAX_LANGS languages are refused; an empty table gives no rows.
+    """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    ranked = usable.select(F.col(lang_col).alias("lang"), F.col(order_col).alias("id"))
-    # ids only, first among the rows of each slice of the hash, then among those that are left: at most SLICES * rows in a task
+    texts = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(order_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    if docs.select(lang_col).dropna().distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages: is that a column of languages?")
+    key = F.xxhash64(F.lit(7), "id", "h")
+    ranked, order = texts.select("lang", "id", "h").distinct(), (key, "id", "h")
+    # no texts; first among the rows of each slice of the hash, then among those that are left: at most SLICES * rows in a task
     for group in (["lang", F.pmod(key, F.lit(SLICES))], ["lang"]):
         ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("n") <= rows)
-    picked = ranked.select("id").distinct()
-    texts = usable.select(F.col(order_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(picked), "id").select("lang", "text")
+    picked = F.broadcast(ranked.select(F.col("lang").alias("_lang"), F.col("id").alias("_id"), F.col("h").alias("_h")))  # at most ``rows`` of MAX_LANGS languages
+    found = texts.join(picked, (F.col("lang") == F.col("_lang")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
+    return found.dropDuplicates(["lang", "id", "h"]).select("lang", "text")
 
 
 def count_types(texts: DataFrame) -> dict[str, np.ndarray]:
@@ -175,8 +182,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """Per row: id_col, the ``keep`` columns, lang_pred, score (0 to 1) and mixture (language to proportion).
 
     Null texts and texts without a letter get `und`, score 0 and an empty mixture, as does everything if the model
-    knows no language. Rows stay as they are, repeated ones too; no other column is read.
+    knows no language. A letter is a character of category L: numerals, marks and symbols aren't. Of languages that tie the first by name is
+    predicted. Texts of any length are read whole. Rows stay as they are, repeated ones too; no other column is read, and ``keep`` may not hold the
+    names of the result (ValueError). An empty table gives no rows.
     """
+    if {c.lower() for c in keep} & {id_col.lower(), "lang_pred", "score", "mixture"}:
+        raise ValueError("keep clashes with the columns of the result")
     langs = model.langs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
