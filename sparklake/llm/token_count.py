@@ -1,15 +1,17 @@
 """Token counts by dynamic programming shared over a trie.
 
-The vocabulary's pieces are a unigram model with probabilities by rank (Zipf's law: the score of the piece of rank r is
--log(r + 2)); a piece comes in rank order of its file. The best segmentation of a pre-token is found by the forward
-recursion over its prefixes. Distinct pre-tokens are inserted in a trie and visited depth first (sorted order), so the forward scores of
-a shared prefix are computed once and stay on the path's stack; the token count is stored at the terminal.
+A unigram model scores a segmentation by the sum of its pieces' log probabilities; the best one of a pre-token is found by the
+forward recursion over its prefixes. Distinct pre-tokens are inserted in a trie whose nodes hold the forward score and the token count of
+their prefix, so a prefix that several pre-tokens share is computed once, and each terminal node holds its pre-token's count.
+
+Tokenizers aren't trained here: the probabilities are those of the vocabulary's file, or, where that ranks its pieces only, follow
+Zipf's law by rank (log probability -log(r + 2) for the piece of rank r, up to a constant).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,84 +23,92 @@ from sparklake.llm._text import pieces, small_batches
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Marks the start of a pre-token, as the vocabulary's pieces do.
 MARK = "▁"
-#: Pre-tokens whose counts a task remembers before it starts anew.
-MEMORY = 400_000
+#: Nodes of a task's trie before it starts anew; characters from which a pre-token is computed beside the trie, as its prefixes are hardly shared.
+NODES, LONG = 1 << 18, 256
 
 
 class Vocabulary:
     """Pieces in a trie: a node maps a character to the next node, and "" to the score of the piece that ends there."""
 
-    def __init__(self, ranked: list[str]):
+    def __init__(self, ranked: Sequence[str], scores: Sequence[float] | None = None):
+        """Without ``scores`` (log probabilities) pieces are scored by their rank. Of a repeated piece the first counts."""
         self.root: dict = {}
-        for rank, piece in enumerate(ranked):
+        scores = [-math.log(rank + 2) for rank in range(len(ranked))] if scores is None else scores
+        for piece, score in zip(ranked, scores, strict=True):
             node = self.root
             for c in piece:
                 node = node.setdefault(c, {})
-            node.setdefault("", -math.log(rank + 2))
+            node.setdefault("", score)
         #: A character that no piece covers becomes its UTF-8 bytes, a token each.
-        self.byte_score = -math.log(len(ranked) + 2) - 2
+        self.byte_score = min(scores, default=0.0) - 2
 
     @classmethod
     def load(cls, path: str = TOKENIZER) -> Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        ids = range(model.get_piece_size())
-        return cls([model.id_to_piece(k) for k in ids if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k))])
-
-    def counts(self, pretokens: list[str]) -> list[int]:
-        """The number of tokens in the best segmentation of each of the sorted, distinct pre-tokens; of equal scores the fewer tokens."""
-        root, byte_score = self.root, self.byte_score
-        score, tokens, open_nodes = [0.0], [0], [[(0, root)]]
-        out, last = [], ""
-        for text in pretokens:
-            shared = 0
-            for a, b in zip(last, text, strict=False):
-                if a != b:
-                    break
-                shared += 1
-            del score[shared + 1 :], tokens[shared + 1 :], open_nodes[shared + 1 :]
-            for depth in range(shared, len(text)):
-                c = text[depth]
-                size = len(c.encode())
-                best, count = score[depth] + size * byte_score, tokens[depth] + size
-                nodes = []
-                for start, node in open_nodes[depth]:
-                    child = node.get(c)
-                    if child is not None:
-                        nodes.append((start, child))
-                        own = child.get("")
-                        if own is not None:
-                            value, n = score[start] + own, tokens[start] + 1
-                            if value > best or (value == best and n < count):
-                                best, count = value, n
-                nodes.append((depth + 1, root))
-                score.append(best)
-                tokens.append(count)
-                open_nodes.append(nodes)
-            out.append(tokens[-1])
-            last = text
-        return out
+        ids = [k for k in range(model.get_piece_size()) if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k))]
+        scores = [model.get_score(k) for k in ids]
+        by_rank = all(a - b == 1 for a, b in zip(scores, scores[1:], strict=False))
+        return cls([model.id_to_piece(k) for k in ids], None if by_rank else scores)
+
+
+class Trie:
+    """The pre-tokens met so far. A node: its children, the forward score and token count of its prefix, and the pieces open there: (start, vocabulary node)."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.size, self.root = 1, ({}, 0.0, 0, [(0, vocabulary.root)])
+
+    def _step(self, path: list, c: str) -> tuple:
+        """The node after the path's last one. Of equal scores the fewer tokens."""
+        _, score, tokens, spans = path[-1]
+        size = len(c.encode())
+        best, count, opened = score + size * self.vocabulary.byte_score, tokens + size, []
+        for start, node in spans:
+            child = node.get(c)
+            if child is not None:
+                opened.append((start, child))
+                own = child.get("")
+                if own is not None:
+                    value, n = path[start][1] + own, path[start][2] + 1
+                    if value > best or (value == best and n < count):
+                        best, count = value, n
+        opened.append((len(path), self.vocabulary.root))
+        return ({}, best, count, opened)
+
+    def count(self, text: str) -> int:
+        """The number of tokens in the best segmentation of a pre-token, which is inserted."""
+        path, node, keep = [self.root], self.root, len(text) < LONG
+        for c in text:
+            child = node[0].get(c)
+            if child is None:
+                child = self._step(path, c)
+                if keep:
+                    node[0][c] = child
+                    self.size += 1
+            node = child
+            path.append(node)
+        if self.size > NODES:
+            self.size, self.root = 1, ({}, 0.0, 0, [(0, self.vocabulary.root)])
+        return node[2]
 
 
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id_col, n_words, n_tokens.
 
     Pre-tokens are runs of characters other than space and U+0009 to U+000D, each with the start mark. Null and empty texts have none.
-    Whole texts of any length are counted; repeated rows each get their row.
+    Whole texts of any length are counted; repeated rows each get their row, and null ids stay. Other columns are left out, so none can
+    clash. Segmentations that tie in score count with the fewest tokens. An empty table gives no rows.
     """
     vocabulary = vocabulary or Vocabulary.load()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        trie = Trie(vocabulary)
         for batch in batches:
             for part in pieces(batch, "text", 8 << 20):
                 texts = [(x or b"").split() for x in part.column("text").cast(pa.binary()).to_pylist()]
-                new = sorted(MARK + x.decode() for x in set().union(*texts).difference(known))
-                if len(known) + len(new) > MEMORY and known:
-                    known.clear()
-                    new = sorted(MARK + x.decode() for x in set().union(*texts))
-                known.update(zip((x[1:].encode() for x in new), vocabulary.counts(new), strict=True))
+                known = {x: trie.count(MARK + x.decode()) for x in set().union(*texts)}
                 total = np.array([sum(map(known.__getitem__, words)) for words in texts], np.int64)
                 yield pa.record_batch([part.column("id"), pa.array([len(w) for w in texts], pa.int64()), pa.array(total)], ["id", "n_words", "n_tokens"])
 
