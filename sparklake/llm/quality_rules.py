@@ -39,42 +39,24 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _twins(ordered: Column, same) -> Column:
-    """For each element of a sorted array: whether it equals a neighbour."""
-
-    def test(x: Column, j: Column) -> Column:
-        return F.coalesce(same(x, F.get(ordered, j - 1)), F.lit(False)) | F.coalesce(same(x, F.get(ordered, j + 1)), F.lit(False))
-
-    return F.filter(ordered, test)
-
-
 def _repeat_words(words: Column) -> Column:
     """Words in 3-word windows found twice or more.
 
-    Windows are sorted by hash with their position in the low 20 bits (the whole hash decides between neighbours that agree
-    above), equal neighbours give their positions, and sorted positions cover up to three words each. Texts of 2**20
-    windows or more sort pairs instead.
+    Windows are sorted by hash and position; those whose hash a neighbour has give their positions, and sorted positions cover up to
+    three words each.
     """
-    low = (1 << 20) - 1
     at = F.sequence(F.lit(0), F.size(words) - 3)
-    hashes = F.transform(at, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    windows = F.transform(at, lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
 
-    def place(k: Column) -> Column:
-        return k.bitwiseAND(F.lit(low)).cast("int")
-
-    def short(h: Column) -> Column:
-        packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
-        return _let(packed, lambda s: F.transform(_twins(s, lambda x, y: F.get(h, place(x)) == F.get(h, place(y))), place))
-
-    def long(h: Column) -> Column:
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        return _let(pairs, lambda s: F.transform(_twins(s, lambda x, y: x["h"] == y["h"]), lambda x: x["i"]))
+    def repeated(s: Column) -> Column:
+        same = lambda x, j: F.coalesce(x["h"] == F.get(s, j)["h"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"]))
 
     def covered(marks: Column) -> Column:
         each = F.transform(marks, lambda p, j: F.coalesce(F.least(F.lit(3), F.get(marks, j + 1) - p), F.lit(3)))
         return F.aggregate(each, F.lit(0).cast("long"), lambda total, x: total + x)
 
-    count = _let(hashes, lambda h: _let(F.sort_array(F.when(F.size(h) <= low, short(h)).otherwise(long(h))), covered))
+    count = _let(F.sort_array(windows), lambda s: _let(repeated(s), covered))
     return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(count)
 
 
@@ -194,7 +176,10 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> list[tuple[dict, bool]]:
-    """(features, is low quality) of at most ``rows`` labelled documents: those whose hashed id comes first, so reruns agree."""
+    """(features, is low quality) of at most ``rows`` labelled documents: those whose hashed id comes first, so reruns agree.
+
+    Null ids and labels count nothing. Of several labels of an id the lowest counts, of several documents each, up to ``rows`` in all.
+    """
     picked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("_y"))
     picked = picked.orderBy(F.xxhash64(F.lit(7), id_col), id_col).limit(rows)
     found = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(picked), id_col)  # bounded by ``rows``
@@ -207,7 +192,8 @@ def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
     """Per row: id_col, the statistics, base_failed, kept.
 
     Null and empty texts have no words and fail the base rules. Every row is judged by its own text, repeated rows alike;
-    texts may have any length. Without labelled rows there are no rules and the base rules decide.
+    texts may have any length. Without labelled rows there are no rules and the base rules decide; of rules that fire the first
+    decides. Null ids are kept as they are. Other columns are left out, so none can clash. An empty table gives no rows.
     """
     stats = with_statistics(docs.select(id_col, text_col), text_col).withColumn("base_failed", base_failed())
     return stats.withColumn("kept", ~F.col("base_failed") & verdict(rules))
