@@ -186,7 +186,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
     Words are runs of letters, digits and non-ASCII characters, lower-cased; letters of scripts written without spaces are
     words of their own. Items of fewer than MIN_WORDS words match where all their words follow each other, with similarity
     1 and distance 0. Null and empty texts on either side match nothing. Documents are compared whole; each row of a repeated document gets its own
-    results, with the best window for each item. A null id is returned as null. Empty tables give no rows.
+    results, with the best window for each item, of windows that tie the first. Equal items are found alike. A null id is returned as null. Other
+    columns are left out, so none can clash. Texts may have any length. Empty tables give no rows.
     """
     found = None
     for rows in _passes(bench, item_col, item_text):

@@ -101,12 +101,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """Per row: id_col, the ``keep`` columns, size, source_size, target, taken, shards (one entry for each time the mix takes it).
 
     size is the number of words (runs of characters other than space and U+0009 to U+000D; null: 0). A null source is a
-    source of its own, last in order. Texts without words have size 0 and follow their block. Repeated rows are rows like
-    others and share a block. No row is taken more than 3 times. An empty table gives no rows.
+    source of its own, last in order. Texts without words have size 0 and follow their block; texts of any length are counted whole. Repeated rows are
+    rows like others and share a block, as do rows with a null id. Blocks that tie in the permuted order follow their number. No row is taken more
+    than 3 times. ``keep`` may not hold the names of the result (ValueError). An empty table gives no rows.
     """
+    if {c.lower() for c in keep} & {"size", "source_size", "target", "taken", "shards"}:
+        raise ValueError("keep clashes with the columns of the result")
+    kept = [c for c in keep if c != id_col]
     sized = docs.select(
-        id_col,
-        *(c for c in keep if c != id_col),
+        F.struct(id_col, *kept).alias("_row"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s"),
         F.col(source_col).isNull().cast("int").alias("null_s"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -118,11 +121,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shards = block_shards(plan, levels, seed)
     plan = plan.join(shards, ["null_s", "s", "block"], "left")
     out = sized.join(plan, ["null_s", "s", "block"])
-    return out.select(id_col, *(c for c in keep if c != id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
+    return out.select(*[F.col("_row")[c].alias(c) for c in (id_col, *kept)], "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
 
 
-def draw(mixed: DataFrame, id_col: str = "doc_id", seed: int = 42) -> DataFrame:
-    """The mix itself: a row (shard, position key, ...) for each time a row of ``mix`` is taken, shuffled within its shard."""
+def draw(mixed: DataFrame, id_col: str = "doc_id", seed: int = 42, fan: int = 64) -> DataFrame:
+    """The mix itself: a row (shard, position key, ...) for each time a row of ``mix`` is taken, shuffled within its shard.
+
+    Each shard is dealt to ``fan`` tasks by position key; an empty mix gives no rows.
+    """
     each = mixed.select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards")
     key = _hash(seed + 202, F.col(id_col), F.col("copy"))
-    return each.withColumn("order_key", key).repartition("shard", F.pmod(key, F.lit(64))).sortWithinPartitions("shard", "order_key")
+    return each.withColumn("order_key", key).repartition("shard", F.pmod(key, F.lit(fan))).sortWithinPartitions("shard", "order_key")

@@ -39,15 +39,30 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The host and path rules that the query judges by.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+#: What the method says where no rule above fits: junk hosts, mobile mirrors, printer pages and numbered archives.
+URL_PATTERNS = (
+    ("block", r"\bspam-farm\b"),
+    ("block", r"\bcheap-(?:pills|loans|watches)\b"),
+    ("block", r"\Am\.[^/]+\.org/"),
+    ("allow", r"\Am\.[^/]+\.org/en/[0-9]{1,2}\b"),
+    ("block", r"/de/[0-9]{3,}\.html\Z"),
+    ("block", r"[0-9]00/?\Z"),
+    ("allow", r"\Ablog\.[a-z]+\.example\.(?:org|net)/en/[0-9]+/?\Z"),
+)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_table(spark, sf_dir, "pages"), [url_filter.prefix_rule(*r) for r in URL_RULES]).drop("candidates")
+    rules = [url_filter.prefix_rule(*r) for r in URL_RULES] + [url_filter.pattern_rule(*r) for r in URL_PATTERNS]
+    found = url_filter.judge(_table(spark, sf_dir, "pages"), rules)
+    contract = F.col("rule").isin([r for _, r in URL_RULES])
+    return found.select("page_id", "host", "path", F.when(contract, F.col("rule")).alias("rule"), "verdict", F.when(~contract, F.col("rule")).alias("pattern"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = chat_format.conversations(_table(spark, sf_dir, "conversations"))
-    return chat_format.format_preferences(chat_format.contrast_pairs(convs))
+    found = chat_format.format_preferences(chat_format.contrast_pairs(convs))
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"], x["end"])), " ")
+    return found.withColumns({c: spans(c) for c in ("chosen_spans", "rejected_spans")})
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,12 +98,36 @@ ORACLE_SQL: dict[str, str] = {
         m AS (SELECT page_id, body, max(page_id) OVER (PARTITION BY body) AS last FROM p)
         SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
             CASE WHEN strlen(body) >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN strlen(body) >= 1000 AND page_id < last THEN last END AS refers_to FROM m""",
-    "op6_url_filter": """
+    "op6_url_filter": r"""
         WITH r(verdict, rule) AS (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')),
         u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
         p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
         m AS (SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS n FROM p JOIN r
-            ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/'))))
-        SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id AND n = 1""",
+            ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/')))),
+        x(action, pattern) AS (VALUES ('block', '\bspam-farm\b'), ('block', '\bcheap-(?:pills|loans|watches)\b'), ('block', '\Am\.[^/]+\.org/'), ('allow', '\Am\.[^/]+\.org/en/[0-9]{1,2}\b'),
+            ('block', '/de/[0-9]{3,}\.html\Z'), ('block', '[0-9]00/?\Z'), ('allow', '\Ablog\.[a-z]+\.example\.(?:org|net)/en/[0-9]+/?\Z')),
+        y AS (SELECT page_id, pattern, action, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, pattern) AS n FROM p JOIN x ON regexp_matches(host || path, replace(pattern, '\Z', '\z')))
+        SELECT p.page_id, host, path, rule, coalesce(verdict, action, 'allow') AS verdict, CASE WHEN rule IS NULL THEN pattern END AS pattern
+        FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.n = 1 LEFT JOIN y ON p.page_id = y.page_id AND y.n = 1""",
+    "op7_chat_format": r"""
+        WITH t AS (SELECT conv_id, row_number() OVER w AS i, coalesce(role, '') AS role, coalesce(text, '') AS text, sum((role = 'assistant')::INT) OVER w AS a FROM conversations WHERE conv_id IS NOT NULL
+            WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '') ROWS UNBOUNDED PRECEDING)),
+        m AS (SELECT conv_id, coalesce(max(a), 0) AS n, count(*) AS turns FROM t GROUP BY 1),
+        k AS (SELECT x.conv_id, x.turns, x.conv_id % nullif(x.n, 0) + 1 AS k, x.conv_id % nullif(x.n, 0) % nullif(y.n, 0) + 1 AS other FROM m x LEFT JOIN m y ON y.conv_id = xor(x.conv_id, 1)),
+        p AS (SELECT t.conv_id, t.i, t.role, t.text, role = 'assistant' AND a = k AS swap, other FROM t JOIN k ON t.conv_id = k.conv_id),
+        r AS (SELECT p.conv_id, row_number() OVER (PARTITION BY p.conv_id ORDER BY p.i) AS i, p.role, CASE WHEN swap THEN o.text ELSE p.text END AS text
+            FROM p LEFT JOIN t o ON swap AND o.conv_id = xor(p.conv_id, 1) AND o.role = 'assistant' AND o.a = other WHERE swap IS NOT TRUE OR o.conv_id IS NOT NULL),
+        s AS (SELECT conv_id, 1 AS side, i, role, text FROM t UNION ALL SELECT conv_id, 2, i, role, text FROM r),
+        e AS (SELECT conv_id, i FROM s GROUP BY conv_id, i HAVING count(*) < 2 OR min(role) <> max(role) OR min(text) <> max(text)),
+        f AS (SELECT k.conv_id, coalesce(min(e.i) - 1, any_value(k.turns)) AS prompt_turns FROM k LEFT JOIN e ON k.conv_id = e.conv_id GROUP BY 1),
+        q AS (SELECT conv_id, side, i, role, regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') AS er, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS et, prompt_turns FROM s JOIN f USING (conv_id)),
+        v AS (SELECT *, '<|turn|>' || er || chr(10) || et || '<|end|>' || chr(10) AS line, sum(length(er) + length(et) + 17) OVER (PARTITION BY conv_id, side, i > prompt_turns ORDER BY i) AS z FROM q)
+        SELECT conv_id, prompt_turns::INTEGER AS prompt_turns,
+            coalesce(string_agg(line, '' ORDER BY i) FILTER (side = 1 AND i <= prompt_turns), '') AS prompt,
+            coalesce(string_agg(line, '' ORDER BY i) FILTER (side = 1 AND i > prompt_turns), '') AS chosen_text,
+            coalesce(string_agg((z - length(et) - 8)::BIGINT || '-' || z::BIGINT, ' ' ORDER BY i) FILTER (side = 1 AND i > prompt_turns AND role = 'assistant'), '') AS chosen_spans,
+            coalesce(string_agg(line, '' ORDER BY i) FILTER (side = 2 AND i > prompt_turns), '') AS rejected_text,
+            coalesce(string_agg((z - length(et) - 8)::BIGINT || '-' || z::BIGINT, ' ' ORDER BY i) FILTER (side = 2 AND i > prompt_turns AND role = 'assistant'), '') AS rejected_spans
+        FROM v GROUP BY conv_id, prompt_turns""",
 }

@@ -131,6 +131,31 @@ def test_arc_rejects_truncation():
         list(warc.parse_arc(raw[:-3]))
 
 
+def test_arc_conversion_keeps_types_addresses_and_version_blocks(spark, tmp_path):
+    dns, http = b"20200101\na.b. 300 IN A 1.2.3.4\n", b"HTTP/1.0 200 OK\r\nA: b\r\n\r\n" + b"\x00\xff body" * 300
+    records = [("dns:a.b", "9.9.9.9", "20200101000000", "text/dns", dns), ("http://a.b/", "1.2.3.4", "20200101000001", "image/gif", http), ("ftp://a.b/x", "1.2.3.5", "20200101000002", "image/png", b"png"), ("ftp://a.b/y", "-", "2020", "no-type", b"")]
+    df = spark.createDataFrame([(f"x{v}.arc", gzip.compress(warc.build_arc(f"x{v}.arc", v, records))) for v in (1, 2)] + [("none", None), ("empty", b"")], "name string, content binary")
+    warc.write_warc(warc.mark_revisits(warc.convert_arc(df)), str(tmp_path / "w"))
+    got = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert Counter(r.record_type for r in got) == {"warcinfo": 2, "response": 4, "resource": 4}
+    assert {(r.url, r.content_type, r.ip) for r in got if r.url} == {("dns:a.b", "text/dns", "9.9.9.9"), ("http://a.b/", "application/http; msgtype=response", "1.2.3.4"), ("ftp://a.b/x", "image/png", "1.2.3.5"), ("ftp://a.b/y", "application/octet-stream", None)}
+    infos = {r.record_id: bytes(r.payload) for r in got if r.record_type == "warcinfo"}
+    assert {r.warcinfo_id for r in got if r.record_type != "warcinfo"} == set(infos) and all(b"isPartOf: x" in x and b"URL IP-address" in x for x in infos.values())
+    assert [bytes(r.payload) for r in got if r.url == "http://a.b/"] == [b"\x00\xff body" * 300] * 2
+    # every record is a gzip member of its own, also to a reader of plain gzip
+    for f in (tmp_path / "w").glob("part-*"):
+        raw = f.read_bytes()
+        parts = list(warc.members(raw))
+        assert all(p.startswith(b"WARC/1.1\r\n") and p.count(b"WARC-Record-ID") == 1 for p in parts) and gzip.decompress(raw) == b"".join(parts)
+
+
+def test_gzip_members():
+    for data in (b"", b"x", b"\0" * 70000, bytes(range(256)) * 300):
+        assert list(warc.members(warc.member(data) + b"\0" + warc.member(b"next") + b"\0")) == [data, b"next"]
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.members(warc.member(b"x" * 100)[:20]))
+
+
 def test_warc_of_pages(spark):
     big, other = "é\r\n\r\nWARC/1.1\r\n" * 100, "y" * 1000
     rows = [(1, "http://a", big), (2, "http://b", big), (9, None, big), (3, "http://c", other), (4, "http://d", "z" * 999), (5, "http://e", "z" * 999), (6, "http://f", None), (None, "http://g", big), (7, "http://h\nx", "")]
@@ -301,8 +326,16 @@ def test_mixing_shards_share_each_source(spark):
         assert 0.5 < 8 * n / total[s] < 1.6
 
 
+def plain_host_path(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+
 def brute_url(url, rules):
-    host, path = url_filter.host_path(url)
+    host, path = plain_host_path(url)
     best = None
     for action, rule in rules:
         h, p = rule.split("/", 1)
@@ -311,12 +344,15 @@ def brute_url(url, rules):
     return (host, path, *(best or (None, "allow")))
 
 
+def odd_urls():
+    hosts = ["example.com", "www.example.com", "a.www.example.com", "EXAMPLE.com", "badexample.com", "x.net", "net", "com", "", "ex-ample.com", "example.com:80", "İ.É.NET", "a\nb.net"]
+    paths = ["", "/", "/en/", "/en", "/EN/x", "/es/1", "/fr/?q", "?/en/", "#/en/", "/en/?a#b", "/a/en/", "/es/\n?", "/en/" + "x" * 20000]
+    return [s + h + p for s in ("http://", "https://", "") for h in hosts for p in paths] + [None, "", "://", "://net/es/x", "a://b://net/es/"]
+
+
 def test_url_rules(spark):
-    r = random.Random(7)
-    hosts = ["example.com", "www.example.com", "a.www.example.com", "EXAMPLE.com", "badexample.com", "x.net", "net", "com", "", "ex-ample.com", "example.com:80"]
-    paths = ["", "/", "/en/", "/en", "/EN/x", "/es/1", "/fr/?q", "?/en/", "#/en/", "/en/?a#b", "/a/en/"]
-    urls = [s + h + p for s in ("http://", "https://", "") for h in hosts for p in paths] + [None, "", "://", "://net/es/x", "a://b://net/es/"]
-    r.shuffle(urls)
+    urls = odd_urls()
+    random.Random(7).shuffle(urls)
     rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("best", F.lit(7))
     rules = [url_filter.prefix_rule(*x) for x in queries.URL_RULES]
     got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in url_filter.judge(rows, rules).collect()}
@@ -326,14 +362,36 @@ def test_url_rules(spark):
 
 
 def test_url_rules_by_rarest_token_and_in_passes(spark, monkeypatch):
-    rules = [url_filter.prefix_rule("block", f"host{i}.com/p{i}/") for i in range(40)] + [url_filter.Rule("any", "block", r"\d{9}", ())]
+    rules = [url_filter.prefix_rule("block", f"host{i}.com/p{i}/") for i in range(40)] + [url_filter.pattern_rule("block", r"\d{9}")]
     by_token, always = url_filter.index(rules, {"com": 1000, **{f"host{i}": 5 for i in range(40)}})
     assert "com" not in by_token and by_token["p3"] == [3] and always == [40]
     rows = spark.createDataFrame([(i, f"http://www.host{i}.com/p{i}/x") for i in range(41)] + [(99, "http://z/123456789")], "page_id long, url string")
     plain = {x.page_id: (x.rule, x.candidates) for x in url_filter.judge(rows, rules).collect()}
     monkeypatch.setattr(url_filter, "PASS_RULES", 7)
     assert plain == {x.page_id: (x.rule, x.candidates) for x in url_filter.judge(rows, rules).collect()}
-    assert plain[5] == ("host5.com/p5/", 2) and plain[40] == (None, 1) and plain[99] == ("any", 1)
+    assert plain[5] == ("host5.com/p5/", 1) and plain[40] == (None, 1) and plain[99] == (r"\d{9}", 1)
+
+
+PATTERNS = [r"/ads?/", r"\bspam-(?:farm|hut)\b", r"\A(?:[^/]*\.)?x1\.net/", "a.b", r"(/p/)q\Z", r"/a|b/", r"(?:/c/)?d/", r"/e+/", r"(?i)/En/", r"/f(?=/g)", r"/h\b", r"[/.]i[-/]", r"\.j_k/", r"/l/\S*/m/", "", r"/[0-9]/n\.", r"É/o/", r"/(?i:P)/"]
+
+
+def test_url_patterns_by_their_literals(spark):
+    r = random.Random(17)
+    parts = ["ad", "ads", "spam", "farm", "spam-farm", "spam-hut", "x1.net", "y.x1.net", "a", "b", "p", "q", "c", "d", "e", "ee", "En", "f", "g", "h", "i", "j_k", "l", "m", "7", "n.", "É", "o", "P", "_", "-"]
+    urls = [f"http://{r.choice(parts)}/" + r.choice(["/", "."]).join(r.choices(parts, k=r.randint(0, 6))) + r.choice(["", "/"]) for _ in range(1500)]
+    rules = [url_filter.pattern_rule("block" if i % 2 else "allow", p, i % 3) for i, p in enumerate(PATTERNS)]
+    want = {}
+    for k, url in enumerate(urls):
+        text = "".join(plain_host_path(url))
+        found = [x for x in rules if re.search(x.pattern, text)]
+        assert all(set(x.literals) <= url_filter.tokens(text) for x in found)
+        win = min(found, key=lambda x: (-x.priority, -len(x.name), rules.index(x)), default=None)
+        want[k] = (win.name, win.action) if win else (None, "block")
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = url_filter.judge(rows, rules, default="block").collect()
+    assert {x.page_id: (x.rule, x.verdict) for x in found} == want
+    assert sum(x.candidates for x in found) < 0.7 * len(urls) * len(rules)
+    assert [x.literals for x in rules[:6]] == [(), ("spam",), ("net",), (), ("p", "q"), ()] and rules[11].literals == ("i",)
 
 
 def test_preferences(spark):
@@ -352,13 +410,34 @@ def test_preferences(spark):
 
 
 def test_contrast_pairs(spark):
-    rows = [(2, 0, "user", "q"), (2, 1, "assistant", "x"), (2, 2, "user", "bye"), (3, 1, "assistant", "y"), (3, 0, "user", None), (5, 0, "assistant", "z"), (6, 0, "user", "q"), (None, 0, "assistant", "n"), (8, None, None, "t"), (8, 1, "assistant", "u")]
-    convs = chat_format.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    got = {x.conv_id: x for x in chat_format.format_preferences(chat_format.contrast_pairs(convs)).collect()}
-    assert set(got) == {2, 3, 5, 8}
-    assert "x" in got[2].chosen_text and "y" in got[2].rejected_text and got[2].prompt_turns == 1
+    rows = [(2, 0, "user", "q"), (2, 1, "assistant", "x"), (2, 2, "user", "bye"), (3, 1, "assistant", "y"), (3, 0, "user", None), (5, 0, "assistant", "z"), (6, 0, "user", "q"), (None, 0, "assistant", "n"), (None, 1, "user", "m"), (8, None, None, "t"), (8, 1, "assistant", "u")]
+    rows += [(9, k, "assistant" if k % 2 else "user", "same" if k < 4 else f"own{k}") for k in range(8)]
+    convs = chat_format.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("prompt", F.lit(1)))
+    found = chat_format.format_preferences(chat_format.contrast_pairs(convs)).collect()
+    got = {x.conv_id: x for x in found if x.conv_id is not None}
+    assert set(got) == {2, 3, 5, 6, 8, 9} and len(found) == 8
+    # what follows the answer in contrast stays on both sides
+    assert got[2].prompt_turns == 1 and "x" in got[2].chosen_text and "y" in got[2].rejected_text and got[2].rejected_text.endswith("bye<|end|>\n")
     assert got[3].prompt == "<|turn|>user\n<|end|>\n" and "x" in got[3].rejected_text
     assert got[5].rejected_text == "" and got[5].prompt == ""
+    assert got[6].prompt_turns == 1 and got[6].chosen_text == got[6].rejected_text == ""
+    # 9 % 4: its second answer, against the only one of 8; three turns are common
+    assert got[9].prompt_turns == 3 and len(got[9].chosen_spans) == 3 and "\nu<|end|>" in got[9].rejected_text
+    assert sorted((x.prompt, x.chosen_text, x.rejected_text) for x in found if x.conv_id is None) == [("", "<|turn|>assistant\nn<|end|>\n", ""), ("<|turn|>user\nm<|end|>\n", "", "")]
+    with pytest.raises(ValueError, match="name of the result"):
+        chat_format.format_preferences(chat_format.contrast_pairs(convs).withColumn("prompt", F.lit(1)))
+    assert chat_format.format_preferences(chat_format.contrast_pairs(convs.limit(0))).collect() == []
+
+
+def test_rendered_texts_tell_their_turns(spark):
+    texts = ["a<|end|>\n<|turn|>assistant\nb", "<|turn|>", "<\\|end|>", "<\\\\|", "", "é<|"]
+    turns = [("user" if i % 2 else "assis<|tant", t) for i, t in enumerate(texts)] + [("assistant", texts[0])]
+    df = spark.createDataFrame([(turns, [])], "chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>")
+    got = chat_format.format_preferences(df).first()
+    parts = [p.split("\n", 1) for p in got.chosen_text.split("<|turn|>")[1:]]
+    plain = lambda x: re.sub(r"<\\(\\*)\|", r"<\1|", x)
+    assert [(plain(role), plain(text.removesuffix("<|end|>\n"))) for role, text in parts] == turns
+    assert [plain(got.chosen_text[x.start : x.end]) for x in got.chosen_spans] == [texts[0] + "<|end|>\n"]
 
 
 def brute_stats(text):
@@ -400,6 +479,15 @@ def test_decision_list_learns_and_orders():
     assert rules == quality_rules.learn(rows) and quality_rules.learn([]) == []
 
 
+def test_decision_list_predicts_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = quality_rules.sample(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    train, test = [x for k, x in enumerate(rows) if k % 5], rows[::5]
+    rules = quality_rules.learn(train)
+    right = sum(any(all(c.holds(f) for c in rule) for rule in rules) == bad for f, bad in test)
+    assert len(test) > 100 and right >= 0.95 * len(test)
+
+
 def test_quality_on_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = {x.doc_id: x for x in queries.op8_quality_rules(spark, sf).collect()}
@@ -479,12 +567,27 @@ def test_token_counts(spark):
     assert token_count.count_tokens(docs(spark, rows).limit(0), vocabulary).collect() == []
 
 
-def test_token_counts_forget_without_loss(spark, monkeypatch):
-    monkeypatch.setattr(token_count, "MEMORY", 3)
-    vocabulary = token_count.Vocabulary(["▁", "w", "1", "▁w"])
-    text = passages(3, 1, 200)[0]
-    got = token_count.count_tokens(docs(spark, [(i, text, None, None, 0) for i in range(5)]), vocabulary).collect()
-    assert len({x.n_tokens for x in got}) == 1 and got[0].n_tokens > 400
+def test_trie_shares_and_forgets_without_loss(monkeypatch):
+    r = random.Random(13)
+    ranked = ["▁", "a", "b", "ab", "▁a", "▁ab", "ba", "bb", "abba", "é", "▁bb"]
+    vocabulary = token_count.Vocabulary(ranked)
+    words = ["".join(r.choices("abé中", k=r.randint(1, 40))) for _ in range(300)] + ["ab" * 300, "ab" * 300 + "b"]
+    want = [brute_tokens(w, vocabulary, ranked) for w in words]
+    for nodes in (10, 1 << 18):
+        monkeypatch.setattr(token_count, "NODES", nodes)
+        trie = token_count.Trie(vocabulary)
+        assert [trie.count(token_count.MARK + w) for w in words + words] == want + want
+        assert trie.size <= nodes + 50 or nodes > 10
+    one, two = token_count.Trie(vocabulary), token_count.Trie(vocabulary)
+    one.count("abab")
+    two.count("abab"), two.count("abb")
+    assert (one.size, two.size) == (5, 6)  # the shared prefix once
+
+
+def test_vocabulary_takes_given_probabilities():
+    vocabulary = token_count.Vocabulary(["▁", "a", "b", "ab"], [-1.0, -1.0, -1.0, -5.0])
+    assert token_count.Trie(vocabulary).count("▁ab") == 3 and vocabulary.byte_score == -7.0
+    assert token_count.Trie(token_count.Vocabulary([])).count("aé") == 3
 
 
 def test_every_query_returns_its_columns(spark):
