@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import argparse
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparklake.operators.dedup import latest
-from sparklake.session import materialise
+from sparklake.session import get_session, materialise
 from sparklake.table import VersionedTable
 
+#: The orders' fields and the layers' columns.
 ORDER = "order_id string, customer_id string, sku string, amount decimal(18,2), region string, order_time timestamp"
 BRONZE = "raw_value string, source_file string, batch_date date, batch_id string"
 SILVER = f"{ORDER}, order_date date, batch_id string"
@@ -20,12 +23,35 @@ REQUIRED = ("order_id", "customer_id", "sku", "amount", "order_time")
 
 @dataclass(frozen=True)
 class Config:
-    """Where the layers are."""
+    """A job's settings: where the layers are, in a folder for each environment, and what is loaded."""
 
     root: str
+    env: str | None = None
+    source: str | None = None
+    batch_date: str | None = None
+    batch_id: str = "manual"
 
     def table(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        return "/".join(x for x in (self.root, self.env, name) if x)
+
+    @classmethod
+    def from_args(cls, args: list[str] | None = None) -> Config:
+        """From command line arguments; environment and date are checked."""
+        parser = argparse.ArgumentParser(description="Load a day of orders into bronze and silver.")
+        parser.add_argument("--root", required=True)
+        parser.add_argument("--env", choices=("dev", "staging", "prod"), default="dev")
+        parser.add_argument("--source", required=True)
+        parser.add_argument("--batch-date", required=True, type=lambda x: dt.date.fromisoformat(x).isoformat())
+        parser.add_argument("--batch-id", default="manual")
+        return cls(**vars(parser.parse_args(args)))
+
+
+def main(args: list[str] | None = None) -> None:
+    """The job: ``python -m sparklake.pipelines.orders --root ... --source ... --batch-date 2024-01-01``."""
+    config = Config.from_args(args)
+    spark = get_session(f"orders-{config.env}")
+    ingest_bronze(spark, config, config.source, config.batch_date, config.batch_id)
+    build_silver(spark, config, config.batch_date)
 
 
 def ingest_bronze(spark: SparkSession, config: Config, source: str, batch_date: str, batch_id: str) -> VersionedTable:
@@ -86,3 +112,7 @@ def gold_checks(daily: DataFrame) -> DataFrame:
     week = Window.orderBy(F.datediff("order_date", F.lit("1970-01-01").cast("date"))).rangeBetween(-7, -1)
     mean = F.avg("total").over(week)
     return total.select("order_date", F.round("total", 2).alias("total"), F.coalesce(F.abs(F.col("total") - mean) <= 0.2 * mean, F.lit(True)).alias("steady"), (F.col("least") > 0).alias("all_regions"), (F.col("most") < 0.3 * F.col("total")).alias("balanced"))
+
+
+if __name__ == "__main__":
+    main()

@@ -158,9 +158,9 @@ def key_skew(spark, sf):
     return skew.key_counts(events, "user_id").join(skew.hot_keys(events, "user_id", 0.008), "user_id")
 
 
-@add("SELECT count(DISTINCT user_id) FILTER (event_type = 'view') AS viewed, count(DISTINCT user_id) FILTER (event_type = 'click') AS clicked, count(DISTINCT user_id) FILTER (event_type = 'purchase') AS bought FROM events WHERE ts < TIMESTAMP '2024-01-02'")
+@add("SELECT count(DISTINCT user_id) FILTER (event_type = 'view') AS viewed, count(DISTINCT user_id) FILTER (event_type = 'click') AS clicked, count(DISTINCT user_id) FILTER (event_type = 'purchase') AS bought FROM events")
 def funnel(spark, sf):
-    each = table(spark, sf, "events").where("ts < TIMESTAMP_NTZ '2024-01-02'").groupBy("user_id").agg(*[F.max((F.col("event_type") == k).cast("int")).alias(n) for n, k in (("viewed", "view"), ("clicked", "click"), ("bought", "purchase"))])
+    each = table(spark, sf, "events").groupBy("user_id").agg(*[F.max((F.col("event_type") == k).cast("int")).alias(n) for n, k in (("viewed", "view"), ("clicked", "click"), ("bought", "purchase"))])
     return each.agg(*[F.sum(c).alias(c) for c in ("viewed", "clicked", "bought")])
 
 

@@ -54,7 +54,7 @@ def fn_initcap(spark, sf):
 
 
 @add(
-    """SELECT event_id, ts::DATE AS d, strptime('2024-01-31 10:20:30', '%Y-%m-%d %H:%M:%S') AS parsed, strftime(ts, '%Y/%m') AS fmt, year(ts)::INTEGER AS y, month(ts)::INTEGER AS mo, day(ts)::INTEGER AS dom,
+    """SELECT event_id, ts::DATE AS d, strptime('2024-01-31 10:20:30', '%Y-%m-%d %H:%M:%S') AS parsed, strptime('31/01/2024 10:20', '%d/%m/%Y %H:%M') AS parsed_by, strftime(ts, '%Y/%m') AS fmt, year(ts)::INTEGER AS y, month(ts)::INTEGER AS mo, day(ts)::INTEGER AS dom,
     (dayofweek(ts) + 1)::INTEGER AS dow, hour(ts)::INTEGER AS h, minute(ts)::INTEGER AS mi, second(ts)::INTEGER AS sec, weekofyear(ts)::INTEGER AS wk, (ts::DATE + 5)::DATE AS plus5, (ts::DATE - 5)::DATE AS minus5,
     (ts::DATE + INTERVAL 1 MONTH)::DATE AS next_month, datediff('day', DATE '2024-01-01', ts::DATE)::INTEGER AS dd, last_day(ts::DATE)::DATE AS eom, date_trunc('month', ts)::DATE AS tr, date_trunc('hour', ts) AS hr,
     floor(epoch(ts))::BIGINT AS unix, strftime(make_timestamp(86400000000), '%Y-%m-%d %H:%M:%S') AS from_unix, ts + INTERVAL 90 MINUTE AS later, quarter(ts)::INTEGER AS q FROM events"""
@@ -65,6 +65,7 @@ def fn_datetime(spark, sf):
         "event_id",
         day.alias("d"),
         F.to_timestamp_ntz(F.lit("2024-01-31 10:20:30")).alias("parsed"),
+        F.to_timestamp(F.lit("31/01/2024 10:20"), "dd/MM/yyyy HH:mm").cast("timestamp_ntz").alias("parsed_by"),
         F.date_format(ts, "yyyy/MM").alias("fmt"),
         F.year(ts).alias("y"),
         F.month(ts).alias("mo"),

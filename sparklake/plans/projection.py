@@ -132,9 +132,15 @@ def na_ops(spark, sf):
     return events.na.drop(subset=["u"]).na.fill({"kind": "none"}).na.replace({"click": "tap"}, subset=["kind"]).select("event_id", "kind")
 
 
-@add()
+@add("SELECT TRUE AS about_a_tenth, TRUE AS once, TRUE AS repeatable, TRUE AS may_repeat")
 def sample_rows(spark, sf):
-    return _orders(spark, sf).sample(withReplacement=False, fraction=0.1, seed=42).select("o_orderkey")
+    orders = _orders(spark, sf).select("o_orderkey")
+    got = orders.sample(withReplacement=False, fraction=0.1, seed=42)
+    n, again = got.count(), orders.sample(withReplacement=False, fraction=0.1, seed=42)
+    about = abs(n - 0.1 * orders.count()) <= 4 * (0.09 * orders.count()) ** 0.5
+    twice = orders.sample(withReplacement=True, fraction=2.0, seed=1)
+    checks = (about, got.distinct().count() == n, got.exceptAll(again).isEmpty(), twice.count() > twice.distinct().count())
+    return spark.createDataFrame([checks], "about_a_tenth boolean, once boolean, repeatable boolean, may_repeat boolean")
 
 
 @add("SELECT 'n_nationkey' AS name, 'int' AS kind UNION ALL SELECT 'n_name', 'string' UNION ALL SELECT 'n_regionkey', 'int'")

@@ -244,10 +244,11 @@ def stream_static_refresh(spark, sf):
     return out.to_df()
 
 
-@add()
+@add("SELECT 10::BIGINT AS n, 0::BIGINT AS first_value, 9::BIGINT AS last_value, TRUE AS ordered")
 def stream_rate(spark, sf):
     stream = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 10).option("numPartitions", 1).load()
     path, ck = scratch_path(spark, "rate"), scratch_path(spark, "ck")
-    query = stream.select("value").writeStream.format("parquet").option("path", path).option("checkpointLocation", ck).trigger(once=True).start()
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", ck).trigger(once=True).start()
     sinks.finish(query)
-    return spark.read.schema("value long").parquet(path)
+    found = spark.read.schema("timestamp timestamp, value long").parquet(path)
+    return found.agg(F.count("*").alias("n"), F.min("value").alias("first_value"), F.max("value").alias("last_value"), (F.max_by("value", F.struct("timestamp", "value")) == F.max("value")).alias("ordered"))

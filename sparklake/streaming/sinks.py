@@ -17,6 +17,48 @@ def file_stream(spark: SparkSession, path: str, schema: str, kind: str = "json",
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).load(path)
 
 
+def start(stream: DataFrame, checkpoint: str, kind: str | None = None, mode: str = "append", every: str | None = None, once: bool = False, continuous: str | None = None, table: str | None = None, name: str | None = None, **options) -> StreamingQuery:
+    """Start a query with a trigger: ``every`` (processing time), ``once``, ``continuous`` (interval of its checkpoints), else all that is available.
+
+    The sink is a catalog ``table`` or a format (``parquet``, ``memory`` under ``name``, ``console``, ``noop``, ``kafka``, ...).
+    """
+    trigger = {"processingTime": every} if every else {"once": True} if once else {"continuous": continuous} if continuous else {"availableNow": True}
+    writer = stream.writeStream.outputMode(mode).options(**options).option("checkpointLocation", checkpoint).trigger(**trigger)
+    writer = writer.queryName(name) if name else writer
+    if table:
+        return writer.toTable(table)
+    return writer.format(kind or "noop").start()
+
+
+class RowWriter:
+    """For ``writeStream.foreach``: one writer for each partition of each batch, which sends its rows together when it closes.
+
+    ``send(rows, partition, epoch)`` may see a partition again after a failure, so it should replace what it sent for that (partition, epoch).
+    """
+
+    def __init__(self, send: Callable[[list, int, int], None], most: int = 10_000):
+        self.send, self.most = send, most
+
+    def open(self, partition: int, epoch: int) -> bool:
+        self.partition, self.epoch, self.rows = partition, epoch, []
+        return True
+
+    def process(self, row) -> None:
+        self.rows.append(row)
+        if len(self.rows) >= self.most:
+            self.send(self.rows, self.partition, self.epoch)
+            self.rows = []
+
+    def close(self, error) -> None:
+        if error is None and self.rows:
+            self.send(self.rows, self.partition, self.epoch)
+
+
+def each_row(stream: DataFrame, writer: RowWriter, checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Hand every row to the writer, where it is, and wait."""
+    return finish(stream.writeStream.foreach(writer).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
 def finish(query: StreamingQuery, timeout: int = 600) -> StreamingQuery:
     """Wait for a query that ends by itself (availableNow); raises its failure, or TimeoutError."""
     if not query.awaitTermination(timeout):

@@ -36,6 +36,18 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, left_at: str, rig
     return a.join(b, on, "left_outer" if how == "left" else how)
 
 
+def chain_join(streams: list[DataFrame], key: str, at: list[str], delay: str, within: str) -> DataFrame:
+    """Rows of several streams that follow one another within an interval each: an inner join in a chain, every side with its watermark.
+
+    The first stream has ``key``, the k-th one ``key_k`` (k from 1); ``at`` names their times.
+    """
+    out = streams[0].withWatermark(at[0], delay)
+    for k, stream in enumerate(streams[1:], 1):
+        right, before, now = stream.withWatermark(at[k], delay), F.col(at[k - 1]), F.col(at[k])
+        out = out.join(right, (F.col(key) == F.col(f"{key}_{k}")) & (now >= before) & (now <= before + F.expr(f"INTERVAL {within}")))
+    return out
+
+
 def custom_sessions(stream: DataFrame, key: str, at: str, delay: str, gap_seconds: float) -> DataFrame:
     """Sessions by arbitrary state: open (start, last, n) intervals of a key are merged as rows arrive in any order and emitted when the
     watermark passes their end. Rows: key, session_start, session_end, n (times in seconds)."""
