@@ -6,7 +6,7 @@ spread the walk over a cluster the trie is taken in four rotations of 16 bits: t
 differ in at most 3 bits agree in one of four 16-bit blocks, so in one rotation they lie below the same
 node at depth 16, and the walk starts from each such node paired with itself. Groups under one node that
 hold more than ``GROUP`` fingerprints are split by their next bits into pairs of sub-nodes, which are
-separate tasks. Each task reduces its links to a spanning forest, so dense groups send no more rows
+separate tasks; those that share these bits too are dealt over pairs of hashed blocks. Each task reduces its links to a spanning forest, so dense groups send no more rows
 than they have members. Components come from alternating large-star and small-star rounds; links,
 components and fingerprints stay in tables.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sparklake.llm import shingle_dedup
 from sparklake.llm._text import pieces, small_batches
 from sparklake.llm._trie import BITS, components, roots, walk
-from sparklake.session import discard, materialise
+from sparklake.session import materialise
 
 BUDGET, BLOCK = 3, 16
 #: Fingerprints below one node that a single task walks.
@@ -77,6 +77,13 @@ def links(distinct: DataFrame, group: int = GROUP, budget: int = BUDGET) -> Data
     own = F.expr(f"CASE WHEN extra = 0 THEN 0L ELSE shiftrightunsigned(shiftleft(x, {BLOCK}), 64 - extra) END")
     tasks = tasks.withColumn("sub", own).withColumn("other", F.explode(F.expr("filter(sequence(0L, shiftleft(1L, extra) - 1), o -> bit_count(o ^ sub) <= 3)")))
     tasks = tasks.select("r", "node", "extra", F.least("sub", "other").alias("s1"), F.greatest("sub", "other").alias("s2"), "x", "fp")
+    # sub-nodes may be as dense as their node: what is still too much for a task meets in the pairs of its blocks
+    keys = ["r", "node", "s1", "s2"]
+    dense = tasks.groupBy(*keys).count().where(F.col("count") > 4 * group).select(*keys, F.ceil(F.col("count") / group).cast("int").alias("m"))
+    tasks = tasks.join(dense, keys, "left").withColumn("b", F.pmod(F.xxhash64("fp"), F.coalesce("m", F.lit(1))).cast("int"))
+    blocks = "CASE WHEN m IS NULL THEN array(struct(0 AS i, 0 AS j)) ELSE transform(filter(sequence(0, m - 1), j -> j <> b), j -> struct(least(b, j) AS i, greatest(b, j) AS j)) END"
+    tasks = tasks.withColumn("t", F.explode(F.expr(blocks))).select(*keys, "t.*", "extra", "x", "fp")
+    keys = [*keys, "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -84,15 +91,15 @@ def links(distinct: DataFrame, group: int = GROUP, budget: int = BUDGET) -> Data
         def join(table: pa.Table) -> pa.RecordBatch:
             cols = {n: table.column(n).to_numpy() for n in table.column_names}
             x, fp = cols["x"].astype(np.int64).view(np.uint64), cols["fp"].astype(np.int64)
-            order = np.lexsort((x, cols["s2"], cols["s1"], cols["node"], cols["r"]))
+            order = np.lexsort((x, *(cols[k] for k in reversed(keys))))
             x, fp = x[order], fp[order]
-            keys = [cols[k][order] for k in ("r", "node", "s1", "s2")]
+            own = [cols[k][order] for k in keys]
             new = np.ones(len(x), bool)
-            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+            new[1:] = np.any([k[1:] != k[:-1] for k in own], axis=0)
             lo = np.flatnonzero(new)
             hi = np.append(lo[1:], len(x))
             # both sub-nodes of a split pair: members of s1 come first, as x is sorted
-            extra, s1, s2 = cols["extra"][order][lo].astype(np.int64), keys[2][lo], keys[3][lo]
+            extra, s1, s2 = cols["extra"][order][lo].astype(np.int64), own[2][lo], own[3][lo]
             sub = (x << np.uint64(BLOCK)) >> (np.uint64(64) - np.maximum(np.repeat(extra, hi - lo), 1).astype(np.uint64))
             in_first = np.concatenate([[0], np.cumsum((np.repeat(extra, hi - lo) == 0) | (sub.astype(np.int64) == np.repeat(s1, hi - lo)))])
             mid = lo + in_first[hi] - in_first[lo]
@@ -116,7 +123,7 @@ def links(distinct: DataFrame, group: int = GROUP, budget: int = BUDGET) -> Data
             rows += len(batch)
             if rows >= 2 * group:
                 table = pa.Table.from_batches(held)
-                key = np.stack([table.column(n).to_numpy() for n in ("r", "node", "s1", "s2")])
+                key = np.stack([table.column(n).to_numpy() for n in keys])
                 change = np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0))
                 if len(change):
                     cut = int(change[-1]) + 1
@@ -126,7 +133,6 @@ def links(distinct: DataFrame, group: int = GROUP, budget: int = BUDGET) -> Data
         if last is not None and rows:
             yield join(pa.Table.from_batches(held))
 
-    keys = ["r", "node", "s1", "s2"]
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = tasks.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
     return found.where("u <> v").distinct()
