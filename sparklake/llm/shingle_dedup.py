@@ -1,15 +1,19 @@
 """Near-duplicates by SimHash with exact verification, for budgets that 16-bit blocks can't serve.
 
-Every text becomes the set of its shingles' hashes and a 64-bit SimHash of that set. At 0.8 Jaccard similarity two
+Every text becomes the set of its shingles' hashes and two 64-bit SimHashes of that set. At 0.8 Jaccard similarity 64-bit
 fingerprints differ in about ten bits, so the trie walk needs a budget of about two dozen and nodes to start from that similar texts
 share whatever their bits. Those nodes are shingles: all sets are sorted in one order, what many texts hold last, and two sets of
 similarity ``t`` have a common shingle among their first ``n - ceil(t * n) + 1``. Below each shared shingle the trie
-self-join walks pairs of nodes and prunes beyond the budget; pairs that are left are verified on their whole sets.
+self-join walks pairs of nodes and prunes beyond the budget; the second fingerprint then rules out chance.
 
-The order comes from a Count-Min sketch over all texts: it decides how many pairs are walked, never the result. Dense groups
-are cut first: each set is verified against the nearest of two neighbours below its shingles, and the walk leaves out
-pairs in one component. Members of the root that most of a group has are only paired with the rest of it; large groups fall into blocks whose
-pairs are tasks. Sets, pairs, links and components stay in tables.
+1. The order comes from a Count-Min sketch over all texts: it decides how many pairs are walked, never the result.
+2. Candidates only form families: neighbours below a shingle are joined first, then the walk joins what is still apart. Each
+   task sends a spanning forest, so a dense group sends no more rows than it has members.
+3. The sets of each family meet once, in one task or, for a large family, in tasks for pairs of blocks. There the same walk finds the
+   candidates and their sets are compared exactly, nearest first, unless they are in one component already. Links leave as a spanning
+   forest too; no pair leaves its task.
+
+Sets, links, families and components stay in tables.
 """
 
 from __future__ import annotations
@@ -23,17 +27,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparklake.llm._text import Words, grams, input_bytes, pack, pieces, small_batches, unpack
-from sparklake.llm._trie import components, walk
+from sparklake.llm._text import Words, grams, input_bytes, mix, pack, pieces, small_batches, unpack
+from sparklake.llm._trie import components, roots, walk
 from sparklake.session import discard, materialise
 
-SHINGLE, THRESHOLD, BUDGET = 5, 0.8, 26
+#: Differing bits of the first fingerprint, and of both.
+SHINGLE, THRESHOLD, BUDGET, BOTH = 5, 0.8, 26, 42
 #: Counters of each of the sketch's two rows, and the pieces that they are summed in.
 SLOTS, SLICES = 1 << 16, 64
 #: Entries held by a task before it settles and sends them; bytes of input whose entries one bucket settles.
 FLUSH, BUCKET_BYTES = 1 << 19, 8 << 20
-#: Members of a group's block: a task walks one pair of blocks.
-GROUP = 1 << 12
+#: Members of a group's block, and shingles of a family's: a task walks one pair of blocks.
+GROUP, FAMILY = 1 << 13, 1 << 20
 #: Bits of the filter that keeps texts of no pair out of an exchange.
 FILTER_BITS = 1 << 24
 #: Guards comparisons with products of the threshold; the similarity itself is compared as it is.
@@ -97,13 +102,17 @@ def _simhashes(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _fingerprints(values: np.ndarray, first: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    return tuple(pa.array(_simhashes(x, first).view(np.int64)) for x in (values, mix(values ^ np.uint64(0x5851F42D4C957F2D))))
+
+
 def _keys(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The digests of sets, of which each is sorted by hash."""
     return np.array([xxhash.xxh64_intdigest(values[a:z].tobytes()) for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], np.uint64).view(np.int64)
 
 
 def _prints(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """(id, h, key, sim, n, prefix) of (id, h, text): the set's digest, fingerprint and size, and its first shingles where a task meets a set first."""
+    """(id, h, key, sim, sim2, n, prefix) of (id, h, text): the set's digest, fingerprints and size, and its first shingles where a task meets a set first."""
     order = _order(texts.select("text"), shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,9 +131,9 @@ def _prints(texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(head)])
                 at = np.arange(offsets[-1]) + np.repeat(first[:-1] - offsets[:-1], head)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values[at].view(np.int64)))
-                yield pa.record_batch([part.column("id"), part.column("h"), pa.array(keys), pa.array(_simhashes(values, first).view(np.int64)), pa.array(n.astype(np.int32)), lists], ["id", "h", "key", "sim", "n", "prefix"])
+                yield pa.record_batch([part.column("id"), part.column("h"), pa.array(keys), *_fingerprints(values, first), pa.array(n.astype(np.int32)), lists], ["id", "h", "key", "sim", "sim2", "n", "prefix"])
 
-    return materialise(texts.mapInArrow(run, "id long, h long, key long, sim long, n int, prefix array<long>"), "prints")
+    return materialise(texts.mapInArrow(run, "id long, h long, key long, sim long, sim2 long, n int, prefix array<long>"), "prints")
 
 
 def _shared(prints: DataFrame, buckets: int) -> DataFrame:
@@ -191,39 +200,53 @@ def _shared(prints: DataFrame, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(settle, "s long, key long")
 
 
+class _Likely:
+    """Which pairs of sets may have the similarity: by size and both fingerprints. Two sets of 0.8 fail by about one in 10**5 (see the README)."""
+
+    def __init__(self, sim: np.ndarray, sim2: np.ndarray, n: np.ndarray, threshold: float, budget: int):
+        self.x, self.y, self.n, self.threshold, self.budget = sim.view(np.uint64), sim2.view(np.uint64), n, threshold, budget
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether, differing bits) of pairs of indexes."""
+        first = np.bitwise_count(self.x[a] ^ self.x[b])
+        both = first.astype(np.int64) + np.bitwise_count(self.y[a] ^ self.y[b])
+        sizes = np.minimum(self.n[a], self.n[b]) >= self.threshold * np.maximum(self.n[a], self.n[b]) - SLACK
+        return (first <= self.budget) & (both <= BOTH) & sizes, both
+
+
 def _neighbours(rows: DataFrame, threshold: float, budget: int) -> DataFrame:
-    """(u, v, far): for each set v the nearest by SimHash, within the budget, of the sets before it and of the first ones below its shingles."""
+    """(u, v): likely pairs of a set and the one before it, or the first one, below a shingle; one pair for each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the row before, and the first one of its shingle here
+        last = None  # the first row of the last shingle here, and the last row
         for batch in batches:
-            s, key, sim, n = (batch.column(c).to_numpy() for c in ("s", "key", "sim", "n"))
-            if not len(s):
+            cols = [batch.column(c).to_numpy() for c in ("s", "key", "sim", "sim2", "n")]
+            size = len(batch)
+            if not size:
                 continue
-            size = len(s)
             if last is not None:
-                s, key, sim, n = (np.concatenate([[a, b], x]) for a, b, x in zip(*last, (s, key, sim, n), strict=True))
+                cols = [np.concatenate([before, x]) for before, x in zip(last, cols, strict=True)]
+            s, key, sim, sim2, n = cols
             at = np.arange(len(s) - size, len(s))
             new = np.ones(len(s), bool)
             new[1:] = s[1:] != s[:-1]
             leader = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-            last = [tuple(x[k] for x in (s, key, sim, n)) for k in (leader[-1], len(s) - 1)]
-            out = []
+            last = [x[[leader[-1], len(s) - 1]] for x in cols]
+            likely, out = _Likely(sim, sim2, n, threshold, budget), []
             for other in (at - 1, leader[at]):
                 a, b = other[other >= 0], at[other >= 0]
-                far = np.bitwise_count(sim[a].view(np.uint64) ^ sim[b].view(np.uint64))
-                ok = (s[a] == s[b]) & (key[a] != key[b]) & (far <= budget) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - SLACK)
-                out.append((key[a][ok], key[b][ok], far[ok].astype(np.int32)))
-            u, v, far = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.record_batch([pa.array(u), pa.array(v), pa.array(far)], ["u", "v", "far"])
+                ok = likely(a, b)[0] & (s[a] == s[b]) & (key[a] != key[b])
+                out.append((key[a][ok], key[b][ok]))
+            u, v = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = rows.repartitionByRange(parts, "s", "n", "key").sortWithinPartitions("s", "n", "key").mapInArrow(run, "u long, v long, far int")
-    return near.groupBy("v").agg(F.min(F.struct("far", "u")).alias("m")).select(F.col("m.u").alias("u"), "v")
+    near = rows.repartitionByRange(parts, "s", "n", "key").sortWithinPartitions("s", "n", "key").mapInArrow(run, "u long, v long")
+    return near.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
 
 
 def _blocks(rows: DataFrame, group: int) -> DataFrame:
-    """rows (s, key, sim, n, root) of groups with several roots, dealt out to tasks (s, kind, i, j): sides 0 and 1 of a pair of blocks.
+    """rows (s, key, ..., root) of groups with several roots, dealt out to tasks (s, kind, i, j): sides 0 and 1 of a pair of blocks.
 
     Kind 0 pairs the root that most members have with the rest, kind 1 the rest with itself.
     """
@@ -238,49 +261,57 @@ def _blocks(rows: DataFrame, group: int) -> DataFrame:
            ELSE concat(transform(sequence(0, m - 1), i -> struct(0 AS kind, i AS i, b AS j, 1 AS side)),
                        transform(sequence(0, r - 1), j -> struct(1 AS kind, least(b, j) AS i, greatest(b, j) AS j, CASE WHEN b <= j THEN 0 ELSE 1 END AS side))) END"""
     )
-    return held.withColumn("t", F.explode(task)).select("s", "t.*", "key", "sim", "n", "root")
-
-
-def _walked(tasks: DataFrame, threshold: float, budget: int, group: int) -> DataFrame:
-    """(u, v), u < v: pairs of different roots within the budget and of fitting sizes; pairs below several shingles once."""
+    return held.withColumn("t", F.explode(task)).select("s", "t.*", "key", "sim", "sim2", "n", "root")
+
+
+def _tasks(batches: Iterator[pa.RecordBatch], keys: list[str], weight, most: int) -> Iterator[pa.Table]:
+    """Rows sorted by task, as tables of whole tasks: cut where one ends, once the rows' weight exceeds ``most``."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += weight(batch)
+        if total >= most:
+            table = pa.Table.from_batches(held)
+            change = np.flatnonzero(np.any([np.diff(table.column(c).to_numpy()) != 0 for c in keys], axis=0))
+            if len(change):
+                cut = int(change[-1]) + 1
+                yield table.slice(0, cut)
+                held = table.slice(cut).to_batches()
+                total = sum(map(weight, held))
+    if any(len(b) for b in held):
+        yield pa.Table.from_batches(held)
+
+
+def _starts(cols: dict[str, np.ndarray], keys: list[str], itself: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The node pairs that a walk starts from, of rows sorted by task, side and fingerprint; ``itself``: tasks that pair one block."""
+    new = np.ones(len(cols["side"]), bool)
+    new[1:] = np.any([cols[c][1:] != cols[c][:-1] for c in keys], axis=0)
+    lo = np.flatnonzero(new)
+    hi = np.append(lo[1:], len(new))
+    first = np.concatenate([[0], np.cumsum(cols["side"] == 0)])
+    mid, own = lo + first[hi] - first[lo], itself[lo]
+    start = (lo, np.where(own, hi, mid), np.where(own, lo, mid), hi, np.zeros(len(lo), np.int64))
+    live = (start[0] < start[1]) & (start[2] < start[3])
+    return tuple(v[live] for v in start)
+
+
+def _joined(tasks: DataFrame, threshold: float, budget: int, group: int) -> DataFrame:
+    """(u, v): a spanning forest of each task's likely pairs of different roots."""
     keys = ["s", "kind", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-
-        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for table in _tasks(batches, keys, len, 4 * group):
             cols = {c: table.column(c).to_numpy() for c in table.column_names}
             x = cols["sim"].view(np.uint64)
             by = np.lexsort((x, cols["side"], *(cols[c] for c in reversed(keys))))
             cols, x = {c: v[by] for c, v in cols.items()}, x[by]
-            new = np.ones(len(x), bool)
-            new[1:] = np.any([cols[c][1:] != cols[c][:-1] for c in keys], axis=0)
-            lo = np.flatnonzero(new)
-            hi = np.append(lo[1:], len(x))
-            first = np.concatenate([[0], np.cumsum(cols["side"] == 0)])
-            mid = lo + first[hi] - first[lo]
-            own = (cols["kind"][lo] == 1) & (cols["i"][lo] == cols["j"][lo])
-            start = (lo, np.where(own, hi, mid), np.where(own, lo, mid), hi, np.zeros(len(lo), np.int64))
-            live = (start[0] < start[1]) & (start[2] < start[3])
-            key, n, root = cols["key"], cols["n"], cols["root"]
-            for a, b in walk(x, tuple(v[live] for v in start), 0, budget):
-                ok = (root[a] != root[b]) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - SLACK)
-                a, b = key[a[ok]], key[b[ok]]
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
-
-        for batch in batches:
-            held.append(batch)
-            rows += len(batch)
-            if rows >= 4 * group:
-                # rows come sorted by task; cut where the last one begins
-                table = pa.Table.from_batches(held)
-                change = np.flatnonzero(np.any([np.diff(table.column(c).to_numpy()) != 0 for c in keys], axis=0))
-                if len(change):
-                    cut = int(change[-1]) + 1
-                    yield from pairs(table.slice(0, cut))
-                    held, rows = table.slice(cut).to_batches(), len(table) - cut
-        if rows:
-            yield from pairs(pa.Table.from_batches(held))
+            likely, label = _Likely(cols["sim"], cols["sim2"], cols["n"], threshold, budget), np.arange(len(x))
+            for a, b in walk(x, _starts(cols, keys, (cols["kind"] == 1) & (cols["i"] == cols["j"])), 0, budget):
+                ok = (cols["root"][a] != cols["root"][b]) & likely(a, b)[0]
+                label = roots(label, a[ok], b[ok])
+            tied = np.flatnonzero(label != np.arange(len(x)))
+            u, v = cols["key"][tied], cols["key"][label[tied]]
+            yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
     parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return tasks.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long").distinct()
@@ -322,14 +353,12 @@ def _bit(h: pa.Array) -> np.ndarray:
     return (h.to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
 
 
-def _verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """The pairs (u, v) of at least the similarity, as a table.
+def _members(family: DataFrame, prints: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(key, shingles) of the sets of ``family`` (key, ...), as a table.
 
-    The sets are taken anew, from one text of each set; a filter of bounded size keeps most other texts out of the exchange, the
-    joins the rest.
+    The sets are taken anew, from one text of each; a filter of bounded size keeps most other texts out of the exchange, the join the rest.
     """
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    rows = prints.join(needed, "key").groupBy("key").agg(F.min(F.xxhash64("id", "h")).alias("h"))
+    rows = prints.join(family.select("key"), "key").groupBy("key").agg(F.min(F.xxhash64("id", "h")).alias("h"))
     wanted = _bitmap(rows.select("h"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,26 +367,63 @@ def _verified(pairs: DataFrame, prints: DataFrame, texts: DataFrame, shingle: in
             use = batch.filter(pa.array((wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             for part in pieces(use, "text"):
                 values, first = _sets(part.column("text"), shingle, None)
-                yield pa.record_batch([pa.array(_keys(values, first)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))], ["key", "shingles"])
+                yield pa.record_batch([pa.array(_keys(values, first)), *_fingerprints(values, first), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))], ["key", "sim", "sim2", "shingles"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = np.zeros(len(batch), bool)
-            for k, (a, b) in enumerate(zip(batch.column("a"), batch.column("b"), strict=True)):
-                a, b = a.values.to_numpy(), b.values.to_numpy()
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                near[k] = both / (len(a) + len(b) - both) >= threshold
-            yield batch.select(["u", "v"]).filter(pa.array(near))
-
-    found = texts.select(F.xxhash64("id", "h").alias("h"), "text").mapInArrow(build, "key long, shingles array<long>")
-    sets = materialise(found.join(needed, "key", "left_semi").dropDuplicates(["key"]), "sets")
-    a, b = (sets.select(F.col("key").alias(k), F.col("shingles").alias(s)) for k, s in (("u", "a"), ("v", "b")))
-    found = materialise(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "links")
-    discard(sets)
-    return found
+    found = texts.select(F.xxhash64("id", "h").alias("h"), "text").mapInArrow(build, "key long, sim long, sim2 long, shingles array<long>")
+    return materialise(found.join(family, "key").dropDuplicates(["key"]), "sets")
+
+
+def _verified(sets: DataFrame, threshold: float, budget: int, most: int) -> DataFrame:
+    """(u, v): a spanning forest of the pairs of at least the similarity in each task, of (key, sim, sim2, shingles, family)."""
+    size = sets.groupBy("family").agg(F.ceil(F.sum(F.size("shingles")) / most).cast("int").alias("m"))
+    held = sets.join(size, "family").withColumn("b", F.pmod(F.xxhash64("key"), "m").cast("int"))
+    task = F.expr("transform(sequence(0, m - 1), j -> struct(least(b, j) AS i, greatest(b, j) AS j, CASE WHEN b <= j THEN 0 ELSE 1 END AS side))")
+    tasks = held.withColumn("t", F.explode(task)).select("family", "t.*", "key", "sim", "sim2", "shingles")
+    keys = ["family", "i", "j"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _tasks(batches, keys, lambda b: len(b.column("shingles").flatten()), most):
+            table = table.combine_chunks()
+            cols = {c: table.column(c).to_numpy() for c in table.column_names if c != "shingles"}
+            lists = table.column("shingles").chunk(0)
+            values, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
+            x = cols["sim"].view(np.uint64)
+            by = np.lexsort((x, cols["side"], *(cols[c] for c in reversed(keys))))
+            cols, x = {c: v[by] for c, v in cols.items()}, x[by]
+            start, end = edges[:-1][by].tolist(), edges[1:][by].tolist()
+            n = np.array(end) - np.array(start)
+            likely, up = _Likely(cols["sim"], cols["sim2"], n, threshold, budget), list(range(len(x)))
+
+            def root(k: int, up=up) -> int:
+                while up[k] != k:
+                    up[k] = up[up[k]]
+                    k = up[k]
+                return k
+
+            for a, b in walk(x, _starts(cols, keys, cols["i"] == cols["j"]), 0, budget):
+                ok, far = likely(a, b)
+                near = np.flatnonzero(ok)
+                near = near[np.argsort(far[near], kind="stable")]
+                for p, q in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                    r, t = root(p), root(q)
+                    if r != t:
+                        both = len(np.intersect1d(values[start[p] : end[p]], values[start[q] : end[q]], assume_unique=True))
+                        if both / (end[p] - start[p] + end[q] - start[q] - both) >= threshold:
+                            up[max(r, t)] = min(r, t)
+            label = np.array([root(k) for k in range(len(x))], np.int64)
+            tied = np.flatnonzero(label != np.arange(len(x)))
+            u, v = cols["key"][tied], cols["key"][label[tied]]
+            yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tasks.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long").distinct()
+
+
+def _rooted(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    return rows.join(comp, F.col("key") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "key"))
 
 
-def clusters(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, budget: int, group: int = GROUP) -> DataFrame:
+def clusters(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, budget: int, group: int = GROUP, family: int = FAMILY) -> DataFrame:
     """(id, h, sim, key, root): the rows' ids and text hashes with the digest of their set and that of their component, as a table.
 
     Null ids are -2**63 here.
@@ -365,18 +431,16 @@ def clusters(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
     texts = small_batches(docs).select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // BUCKET_BYTES)
     prints = _prints(texts, shingle, threshold)
-    one = prints.where(F.size("prefix") > 0).groupBy("key").agg(F.first("sim").alias("sim"), F.first("n").alias("n"))
-    rows = materialise(_shared(prints, buckets).distinct().join(one, "key").select("s", "key", "sim", "n"), "met")
-    first = materialise(_neighbours(rows, threshold, budget), "pairs")
-    links = _verified(first, prints, texts, shingle, threshold)
-    comp = components(links)
-    known = rows.join(comp, F.col("key") == F.col("node"), "left").select("s", "key", "sim", "n", F.coalesce("root", "key").alias("root"))
-    known = materialise(known, "known")
-    more = materialise(_walked(_blocks(known, group), threshold, budget, group), "pairs")
-    later = _verified(more, prints, texts, shingle, threshold)
-    final = components(links.union(later))
-    found = prints.join(final, F.col("key") == F.col("node"), "left").select("id", "h", "sim", "key", F.coalesce("root", "key").alias("root"))
-    found = materialise(found, "clusters")
-    for table in (prints, rows, first, links, comp, known, more, later, final):
-        discard(table)
+    one = prints.where(F.size("prefix") > 0).groupBy("key").agg(*[F.first(c).alias(c) for c in ("sim", "sim2", "n")])
+    rows = materialise(_shared(prints, buckets).distinct().join(one, "key").select("s", "key", "sim", "sim2", "n"), "met")
+    first = materialise(_neighbours(rows, threshold, budget), "links")
+    near = components(first)
+    apart = materialise(_rooted(rows, near), "met")
+    more = materialise(_joined(_blocks(apart, group), threshold, budget, group), "links")
+    comp = components(first.union(more))
+    sets = _members(comp.select(F.col("node").alias("key"), F.col("root").alias("family")), prints, texts, shingle)
+    links = materialise(_verified(sets, threshold, budget, family), "links")
+    final = components(links)
+    found = materialise(_rooted(prints.select("id", "h", "sim", "key"), final).select("id", "h", "sim", "key", "root"), "clusters")
+    discard(prints, rows, first, near, apart, more, comp, sets, links, final)
     return found
