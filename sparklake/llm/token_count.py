@@ -1,8 +1,8 @@
 """Token counts by dynamic programming shared over a trie.
 
 A unigram model scores a segmentation by the sum of its pieces' log probabilities; the best one of a pre-token is found by the
-forward recursion over its prefixes. Distinct pre-tokens are inserted in a trie whose nodes hold the forward score and the token count of
-their prefix, so a prefix that several pre-tokens share is computed once, and each terminal node holds its pre-token's count.
+forward recursion over its prefixes. Distinct pre-tokens are inserted, in order, in a trie whose nodes hold the forward score and the token
+count of their prefix, so a prefix that several pre-tokens share is computed once, and each terminal node holds its pre-token's count.
 
 Tokenizers aren't trained here: the probabilities are those of the vocabulary's file, or, where that ranks its pieces only, follow
 Zipf's law by rank (log probability -log(r + 2) for the piece of rank r, up to a constant).
@@ -23,8 +23,8 @@ from sparklake.llm._text import pieces, small_batches
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 #: Marks the start of a pre-token, as the vocabulary's pieces do.
 MARK = "▁"
-#: Nodes of a task's trie before it starts anew; characters from which a pre-token is computed beside the trie, as its prefixes are hardly shared.
-NODES, LONG = 1 << 18, 256
+#: Pre-tokens whose counts a task remembers before it starts anew, and that one trie holds.
+MEMORY, TRIE = 400_000, 20_000
 
 
 class Vocabulary:
@@ -54,44 +54,50 @@ class Vocabulary:
 
 
 class Trie:
-    """The pre-tokens met so far. A node: its children, the forward score and token count of its prefix, and the pieces open there: (start, vocabulary node)."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.size, self.root = 1, ({}, 0.0, 0, [(0, vocabulary.root)])
-
-    def _step(self, path: list, c: str) -> tuple:
-        """The node after the path's last one. Of equal scores the fewer tokens."""
-        _, score, tokens, spans = path[-1]
-        size = len(c.encode())
-        best, count, opened = score + size * self.vocabulary.byte_score, tokens + size, []
-        for start, node in spans:
-            child = node.get(c)
-            if child is not None:
-                opened.append((start, child))
-                own = child.get("")
-                if own is not None:
-                    value, n = path[start][1] + own, path[start][2] + 1
-                    if value > best or (value == best and n < count):
-                        best, count = value, n
-        opened.append((len(path), self.vocabulary.root))
-        return ({}, best, count, opened)
-
-    def count(self, text: str) -> int:
-        """The number of tokens in the best segmentation of a pre-token, which is inserted."""
-        path, node, keep = [self.root], self.root, len(text) < LONG
-        for c in text:
-            child = node[0].get(c)
-            if child is None:
-                child = self._step(path, c)
-                if keep:
-                    node[0][c] = child
-                    self.size += 1
-            node = child
-            path.append(node)
-        if self.size > NODES:
-            self.size, self.root = 1, ({}, 0.0, 0, [(0, self.vocabulary.root)])
-        return node[2]
+    """A trie of sorted, distinct pre-tokens, its nodes in depth-first order: each one's parent, character, forward score and the tokens of the best
+    segmentation of its prefix (of equal scores the fewest); and each pre-token's terminal node."""
+
+    def __init__(self, vocabulary: Vocabulary, pretokens: Sequence[str]):
+        root, byte_score = vocabulary.root, vocabulary.byte_score
+        self.parent, self.char, self.score, self.tokens = [-1], [""], [0.0], [0]
+        self.terminal: list[int] = []
+        # the path to the last node: nodes, their scores and tokens, and the pieces open there (start, vocabulary node)
+        path, score, tokens, opened, last = [0], [0.0], [0], [[(0, root)]], ""
+        for text in pretokens:
+            shared = 0
+            for a, b in zip(last, text, strict=False):
+                if a != b:
+                    break
+                shared += 1
+            del path[shared + 1 :], score[shared + 1 :], tokens[shared + 1 :], opened[shared + 1 :]
+            for depth in range(shared, len(text)):
+                c = text[depth]
+                size = 1 if c < "\x80" else len(c.encode())
+                best, count, spans = score[depth] + size * byte_score, tokens[depth] + size, []
+                for start, node in opened[depth]:
+                    child = node.get(c)
+                    if child is not None:
+                        spans.append((start, child))
+                        own = child.get("")
+                        if own is not None:
+                            value, n = score[start] + own, tokens[start] + 1
+                            if value > best or (value == best and n < count):
+                                best, count = value, n
+                spans.append((depth + 1, root))
+                self.parent.append(path[depth])
+                self.char.append(c)
+                self.score.append(best)
+                self.tokens.append(count)
+                path.append(len(self.parent) - 1)
+                score.append(best)
+                tokens.append(count)
+                opened.append(spans)
+            self.terminal.append(path[-1])
+            last = text
+
+    def counts(self) -> list[int]:
+        """The tokens of each pre-token."""
+        return [self.tokens[t] for t in self.terminal]
 
 
 def count_tokens(docs: DataFrame, vocabulary: Vocabulary | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,11 +110,17 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary | None = None, id_col:
     vocabulary = vocabulary or Vocabulary.load()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(vocabulary)
+        known: dict[bytes, int] = {}
         for batch in batches:
             for part in pieces(batch, "text", 8 << 20):
                 texts = [(x or b"").split() for x in part.column("text").cast(pa.binary()).to_pylist()]
-                known = {x: trie.count(MARK + x.decode()) for x in set().union(*texts)}
+                distinct = set().union(*texts)
+                if len(known) + len(distinct) > MEMORY:
+                    known = {x: known[x] for x in distinct.intersection(known)}
+                new = sorted(distinct.difference(known))
+                for at in range(0, len(new), TRIE):
+                    some = new[at : at + TRIE]
+                    known.update(zip(some, Trie(vocabulary, [MARK + x.decode() for x in some]).counts(), strict=True))
                 total = np.array([sum(map(known.__getitem__, words)) for words in texts], np.int64)
                 yield pa.record_batch([part.column("id"), pa.array([len(w) for w in texts], pa.int64()), pa.array(total)], ["id", "n_words", "n_tokens"])
 

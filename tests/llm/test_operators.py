@@ -569,27 +569,35 @@ def test_token_counts(spark):
     assert token_count.count_tokens(docs(spark, rows).limit(0), vocabulary).collect() == []
 
 
-def test_trie_shares_and_forgets_without_loss(monkeypatch):
+def test_trie_shares_prefixes_and_tells_counts():
     r = random.Random(13)
     ranked = ["▁", "a", "b", "ab", "▁a", "▁ab", "ba", "bb", "abba", "é", "▁bb"]
     vocabulary = token_count.Vocabulary(ranked)
-    words = ["".join(r.choices("abé中", k=r.randint(1, 40))) for _ in range(300)] + ["ab" * 300, "ab" * 300 + "b"]
-    want = [brute_tokens(w, vocabulary, ranked) for w in words]
-    for nodes in (10, 1 << 18):
-        monkeypatch.setattr(token_count, "NODES", nodes)
-        trie = token_count.Trie(vocabulary)
-        assert [trie.count(token_count.MARK + w) for w in words + words] == want + want
-        assert trie.size <= nodes + 50 or nodes > 10
-    one, two = token_count.Trie(vocabulary), token_count.Trie(vocabulary)
-    one.count("abab")
-    two.count("abab"), two.count("abb")
-    assert (one.size, two.size) == (5, 6)  # the shared prefix once
+    words = sorted({"".join(r.choices("abé中", k=r.randint(1, 40))) for _ in range(300)} | {"ab" * 300, "ab" * 300 + "b"})
+    trie = token_count.Trie(vocabulary, [token_count.MARK + w for w in words])
+    assert trie.counts() == [brute_tokens(w, vocabulary, ranked) for w in words]
+    # a node for each prefix, once
+    assert len(trie.parent) == 1 + len({(token_count.MARK + w)[:k] for w in words for k in range(1, len(w) + 2)})
+
+    def spelled(node):
+        return "" if node == 0 else spelled(trie.parent[node]) + trie.char[node]
+
+    assert [spelled(t) for t in trie.terminal[:250]] == [token_count.MARK + w for w in words[:250]]
+    assert token_count.Trie(vocabulary, []).counts() == []
+
+
+def test_tries_and_memory_of_any_size_count_alike(spark):
+    rows = odd_rows() + [(100 + i, t, None, None, 0) for i, t in enumerate(passages(3, 20, 200))]
+    want = {x.doc_id: x.n_tokens for x in token_count.count_tokens(docs(spark, rows)).collect()}
+    vocabulary = token_count.Vocabulary.load()
+    single = {x: token_count.Trie(vocabulary, [token_count.MARK + x]).counts()[0] for r in rows for x in brute.words(r[1])}
+    assert want == {r[0]: sum(single[x] for x in brute.words(r[1])) for r in rows}
 
 
 def test_vocabulary_takes_given_probabilities():
     vocabulary = token_count.Vocabulary(["▁", "a", "b", "ab"], [-1.0, -1.0, -1.0, -5.0])
-    assert token_count.Trie(vocabulary).count("▁ab") == 3 and vocabulary.byte_score == -7.0
-    assert token_count.Trie(token_count.Vocabulary([])).count("aé") == 3
+    assert token_count.Trie(vocabulary, ["▁ab"]).counts() == [3] and vocabulary.byte_score == -7.0
+    assert token_count.Trie(token_count.Vocabulary([]), ["aé"]).counts() == [3]
 
 
 def test_every_query_returns_its_columns(spark):
