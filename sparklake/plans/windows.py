@@ -56,8 +56,10 @@ def win_moving_rows(spark, sf):
 
 @add("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 518400 PRECEDING AND CURRENT ROW) AS week FROM (SELECT *, date_trunc('second', ts) AS s FROM events)")
 def win_moving_range(spark, sf):
+    """Whole seconds are the nearest ones, halves to the even one, as SQL casts fractions."""
     w = Window.partitionBy("user_id").orderBy("s").rangeBetween(-6 * 86400, 0)
-    return _events(spark, sf).withColumn("s", F.unix_timestamp("ts")).select("event_id", F.count("*").over(w).alias("week"))
+    second = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).cast("long")
+    return _events(spark, sf).withColumn("s", second).select("event_id", F.count("*").over(w).alias("week"))
 
 
 @add("SELECT event_id, round(value / sum(value) OVER (PARTITION BY user_id), 6) AS share FROM events")
