@@ -114,13 +114,11 @@ def rest_sink(spark, sf):
 
 @add("SELECT c_custkey, c_name, c_nationkey FROM customer")
 def jdbc_round_trip(spark, sf):
-    """Written through a few connections, read in eight partitions of the key; the database is an embedded one."""
-    url, name = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "customers"
-    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    """Written through a few connections (on a cluster, by bulk import), read in eight partitions of the key; the database is an embedded one."""
     rows = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
-    row_sinks.write_jdbc(rows, url, name, "overwrite", 2, isolation="NONE", **driver)
+    url = row_sinks.embedded_database(rows, scratch_path(spark, "derby"), "customers", 2)
     top = rows.agg(F.max("c_custkey")).first()[0]
-    found = row_sinks.read_jdbc(spark, url, name, partition_column="c_custkey", lower=0, upper=top, partitions=8, **driver)
+    found = row_sinks.read_jdbc(spark, url, "customers", partition_column="c_custkey", lower=0, upper=max(top or 0, 1), partitions=8, driver=row_sinks.DERBY)
     return found.select(*[F.col(f.name).alias(f.name.lower()) for f in found.schema]).select("c_custkey", "c_name", "c_nationkey")
 
 

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
+import shutil
 import urllib.request
+import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 
 def each_batch_of_rows(df: DataFrame, send: Callable[[list[Row]], None], size: int = 500) -> None:
@@ -63,6 +69,56 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", connec
     df.coalesce(connections).write.format("jdbc").mode(mode).options(**jdbc_options(url, table, **options)).save()
 
 
+#: The embedded database that comes with Spark.
+DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+_DERBY_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "CLOB"}
+
+
+def embedded_database(df: DataFrame, folder: str, name: str, connections: int = 8) -> str:
+    """The URL of a Derby database below ``folder`` (which all machines mount) that has the rows of df in the table ``name``.
+
+    Only the process that writes an embedded database can reach it. With a local master that is this one, and the rows go through
+    ``write_jdbc``. The executors of a cluster are other processes: they write the rows as delimited text, the driver's database imports
+    the files one after the other, none of which it holds, and is closed and packed; each process reads the packed database by itself.
+    Columns are whole numbers, doubles or texts; nulls stay nulls and empty texts empty.
+    """
+    folder = re.sub(r"^file:/*", "/", folder)
+    if not folder.startswith("/"):
+        raise ValueError(f"not a mounted folder: {folder}")
+    spark, home = df.sparkSession, f"{folder}/{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        url = f"jdbc:derby:directory:{home}/db;create=true"
+        write_jdbc(df, url, name, "overwrite", connections, isolation="NONE", driver=DERBY)
+        return url
+    kinds = [(c, _DERBY_TYPES[t]) for c, t in df.dtypes]
+    # texts are quoted even if empty, so they differ from nulls
+    fields = [F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) if t == "CLOB" else F.col(c).cast("string") for c, t in kinds]
+    df.select(F.concat_ws(",", *[F.coalesce(f, F.lit("")) for f in fields]).alias("value")).write.text(f"file://{home}/rows")
+    connect = spark._jvm.java.sql.DriverManager.getConnection
+    connection = connect(f"jdbc:derby:directory:{home}/db;create=true")
+    try:
+        statement = connection.createStatement()
+        statement.execute(f"CREATE TABLE {name} ({', '.join(f'"{c}" {t}' for c, t in kinds)})")
+        for part in sorted(Path(home, "rows").glob("part-*")):
+            if part.stat().st_size:
+                statement.execute(f"CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, '{name.upper()}', '{part}', ',', '\"', 'UTF-8', 0)")
+    finally:
+        connection.close()
+        try:
+            connect(f"jdbc:derby:directory:{home}/db;shutdown=true")
+        except Exception as e:  # a database says by an error that it is closed
+            if "08006" not in str(e.java_exception.getSQLState()):
+                raise
+    with zipfile.ZipFile(f"{home}/db.jar", "w") as packed:  # not compressed, so pages are reached without those before
+        for file in sorted(Path(home, "db").rglob("*")):
+            if file.is_file() and file.suffix != ".lck":
+                packed.write(file, file.relative_to(home))
+    for done in ("rows", "db"):
+        shutil.rmtree(f"{home}/{done}")
+    return f"jdbc:derby:jar:({home}/db.jar)db"
+
+
 def kafka_options(servers: str, subscribe: str | None = None, pattern: str | None = None, assign: dict[str, list[int]] | None = None, starting: str | dict = "latest", ending: str | dict | None = None, per_trigger: int | None = None, fail_on_loss: bool = True, **options: str) -> dict[str, str]:
     """Options of a Kafka source (the connector is a Spark package): just one of topics, pattern and partitions; offsets are ``earliest``, ``latest`` or
     {topic: {partition: offset}}, where -2 is the earliest and -1 the latest."""

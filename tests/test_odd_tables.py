@@ -1,6 +1,11 @@
 """Queries on small tables that the given ones don't stand for, against their SQL."""
 
 import datetime
+import os
+import subprocess
+import sys
+
+import pytest
 
 from sparklake import catalog
 from tests import oracle
@@ -23,3 +28,33 @@ def test_moving_range_rounds_seconds(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
     want, got = differing(spark, tmp_path, "win_moving_range")
     assert want == got
+
+
+CUSTOMER = "c_custkey long, c_name string, c_nationkey int"
+CLUSTER = """
+import sys
+from sparklake import catalog
+from sparklake.session import get_session
+from tests import oracle
+path = sys.argv[1]
+spark = get_session("cluster", "local-cluster[2,1,1024]", spark__checkpoint__dir=f"file://{path}/shared", spark__sql__warehouse__dir=f"{path}/warehouse", spark__executor__memory="600m")
+want = oracle.duckdb_rows(oracle.connect("/root/testdata/sf0.001"), catalog.oracle_sql()["jdbc_round_trip"])
+assert want == oracle.spark_rows(catalog.queries()["jdbc_round_trip"](spark, "/root/testdata/sf0.001"))
+spark.stop()
+"""
+
+
+def test_jdbc_on_a_cluster(tmp_path):
+    """Executors are processes of their own, which a database in the driver's memory doesn't reach."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", CLUSTER, str(tmp_path)], cwd=tmp_path, env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-3000:]
+
+
+@pytest.mark.parametrize("master", ["local[4]", "local-cluster[2,1,1024]"])
+@pytest.mark.parametrize("rows", [[], [(0, "only", 1)], [(-5, 'quo"te, and comma', 1), (7, "", None), (8, None, 3), (None, " lines\nof text ", 2), (9, '"', 0), (2**62, "\u4e16\u754c", -1)]])
+def test_jdbc_odd_rows(spark, tmp_path, monkeypatch, rows, master):
+    monkeypatch.setattr(spark.sparkContext, "master", master)
+    spark.createDataFrame(rows, CUSTOMER).write.parquet(str(tmp_path / "customer.parquet"))
+    want, got = differing(spark, tmp_path, "jdbc_round_trip")
+    assert want == got
