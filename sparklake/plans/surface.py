@@ -75,14 +75,25 @@ def sketch_heavy_hitters(spark, sf):
 
 @add("SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS total, count(*) AS by_foreach, count_if(o_totalprice > 100000)::BIGINT AS dear, min(o_orderkey) AS first_key, count(*) AS pandas_rows FROM orders")
 def actions(spark, sf):
+    """Sums, counts and first rows come to the driver; the rows themselves are read by the executors."""
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("p"))
-    total = sum(r.o_orderkey for r in orders.select("o_orderkey").toLocalIterator())  # a partition at a time
-    rows, dear = tf.counted_rows(orders, lambda r: r.p > 100000)
-    first = orders.orderBy("o_orderkey").first().o_orderkey
-    taken = orders.orderBy("o_orderkey").take(2)
-    assert taken[0].o_orderkey == first == orders.orderBy("o_orderkey").head(1)[0].o_orderkey
-    counted = len(orders.groupBy("o_orderkey").count().toPandas())
-    return spark.createDataFrame([(orders.count(), total, rows, dear, first, counted)], "n long, total long, by_foreach long, dear long, first_key long, pandas_rows long")
+    sums = orders.where("o_orderkey IS NOT NULL").groupBy(F.pmod(F.hash("o_orderkey"), F.lit(64)).alias("part")).agg(F.sum("o_orderkey").alias("s"))
+    sums = [r.s for r in sums.toLocalIterator()]  # 64 at most
+    total = sum(sums) if sums else None
+    rows, dear = tf.counted_rows(orders, lambda r: r.p is not None and not r.p <= 100000)  # as in SQL, NaN is above all
+    ordered = orders.orderBy(F.asc_nulls_last("o_orderkey"))
+    taken = [r.o_orderkey for r in ordered.take(2)]
+    first = taken[0] if taken else None
+    if taken:
+        assert first == ordered.first().o_orderkey == ordered.head(1)[0].o_orderkey
+
+    def sizes(frames):
+        for f in frames:
+            yield f[["count"]].sum().to_frame("n")
+
+    counted = orders.groupBy("o_orderkey").count().mapInPandas(sizes, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).toPandas()
+    counted = int(counted["n"].iloc[0])
+    return spark.createDataFrame([(orders.count(), total, rows, dear if rows else None, first, counted)], "n long, total long, by_foreach long, dear long, first_key long, pandas_rows long")
 
 
 @add("SELECT count(*) AS n, sum(n_nationkey)::BIGINT AS total FROM nation")

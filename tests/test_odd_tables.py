@@ -58,3 +58,34 @@ def test_jdbc_odd_rows(spark, tmp_path, monkeypatch, rows, master):
     spark.createDataFrame(rows, CUSTOMER).write.parquet(str(tmp_path / "customer.parquet"))
     want, got = differing(spark, tmp_path, "jdbc_round_trip")
     assert want == got
+
+
+ORDERS = "o_orderkey long, o_totalprice double"
+
+
+@pytest.mark.parametrize("rows", [[], [(5, 1.0)], [(3, 200000.0), (3, 5.0), (None, None), (4, float("nan")), (1, 100000.0)]])
+def test_actions_odd_rows(spark, tmp_path, rows):
+    spark.createDataFrame(rows, ORDERS).write.parquet(str(tmp_path / "orders.parquet"))
+    want, got = differing(spark, tmp_path, "actions")
+    assert want == got
+
+
+def test_actions_bring_few_rows_to_the_driver(spark, tmp_path, monkeypatch):
+    spark.range(50_000).selectExpr("id AS o_orderkey", "double(id) AS o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    frame, brought = type(spark.range(1)), []
+
+    def watched(name):
+        plain = getattr(frame, name)
+
+        def run(self, *args, **kwargs):
+            out = plain(self, *args, **kwargs)
+            out = out if hasattr(out, "__len__") else list(out)
+            brought.append(len(out))
+            return out if name == "toPandas" else iter(out)
+
+        monkeypatch.setattr(frame, name, run)
+
+    for name in ("toLocalIterator", "toPandas"):
+        watched(name)
+    want, got = differing(spark, tmp_path, "actions")
+    assert want == got and len(brought) == 2 and max(brought) <= 64
