@@ -1,17 +1,19 @@
-"""Benchmark decontamination by windows of words.
-
-For every benchmark item of m words, windows of m words slide over the documents. Their similarity is that of their
-shingles of five words, weighted: sum of minima over sum of maxima of the shingles' counts. A window of w shingles that
-reaches ``threshold`` t shares at least 2 * t * w / (1 + t) of them with the item, so all windows with that many
-positions whose shingle the item has are verified, and only those: none is missed. The best window of each document and
-item is reported with the distance of the two SimHash fingerprints, which decides nothing.
+"""Benchmark decontamination by SimHash windows.
+
+For every benchmark item of m words, windows of m words slide over the documents. A window's SimHash fingerprint is taken
+over its shingles of five words; an index of the items' fingerprints in blocks (each block is entered with every pattern at
+most ``RADIUS // BLOCKS`` bits away) is certain to find all items within ``RADIUS`` bits. Those candidates are verified
+nearest first by exact weighted shingle similarity: sum of minima over sum of maxima of the shingles' counts, at least
+``threshold``. Similar windows may lie beyond the radius, so none is left out for that: a window of w shingles that reaches
+similarity t shares at least 2 * t * w / (1 + t) of them with the item. Only windows with that many positions whose shingle
+an item has are fingerprinted, and those the index doesn't meet are verified too, unless that number shows that they can't
+better the best window that the document and item have by then.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -87,19 +89,16 @@ class Items:
         self.shingle = np.array([s for s, _ in pairs], np.uint64)
         self.of_item = np.array([k for _, k in pairs], np.int64)
 
-    @cached_property
-    def blocks(self) -> list[dict[int, np.ndarray]]:
-        """The multi-index of the fingerprints, for ``within``."""
+        # the multi-index of the fingerprints
         width = BITS // BLOCKS
         near = [sum(1 << b for b in flip) for n in range(RADIUS // BLOCKS + 1) for flip in combinations(range(width), n)]
-        blocks: list[dict[int, np.ndarray]] = []
+        self.blocks: list[dict[int, np.ndarray]] = []
         for b in range(BLOCKS):
             table: dict[int, list[int]] = {}
             for k, fp in enumerate(self.prints.tolist()):
                 for flip in near:
                     table.setdefault((fp >> (b * width) & ((1 << width) - 1)) ^ flip, []).append(k)
-            blocks.append({key: np.array(v) for key, v in table.items()})
-        return blocks
+            self.blocks.append({key: np.array(v) for key, v in table.items()})
 
     def within(self, prints: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         """(indexes of prints, item, distances) of all items of ``size`` words within RADIUS bits."""
@@ -142,32 +141,53 @@ def _matches(words: Words, items: Items, threshold: float) -> Iterator[tuple[int
     lo, hi = (np.searchsorted(items.shingle, shingles[hits], side=s) for s in ("left", "right"))
     which = np.repeat(np.arange(len(hits)), hi - lo)
     item_of = items.of_item[np.repeat(lo, hi - lo) + np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
-    order = np.argsort(item_of, kind="stable")
-    places, edges = hits[which[order]], np.append(np.flatnonzero(np.diff(item_of[order], prepend=-1)), len(order))
-    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        item, place = int(item_of[order[a]]), places[a:z]
-        size = items.size[item]
-        width = size - SHINGLE + 1
-        need = 2 * threshold * width / (1 + threshold) - 1e-9
-        if z - a < need:
-            continue
-        # how many of the item's positions each window holds
+    of_hit = items.sizes[item_of]
+
+    def windows(place: np.ndarray, size: int, need: float) -> tuple[np.ndarray, np.ndarray]:
+        """The starts of the windows that hold at least ``need`` of the positions, with how many each holds."""
         mark = np.zeros(n + 1, np.int32)
-        np.add.at(mark, np.maximum(place - width + 1, words.first[doc_of[place]]), 1)
+        np.add.at(mark, np.maximum(place - size + SHINGLE, words.first[doc_of[place]]), 1)
         np.add.at(mark, place + 1, -1)
-        starts = np.flatnonzero(np.cumsum(mark[:-1]) >= need)
+        held = np.cumsum(mark[:-1])
+        starts = np.flatnonzero(held >= need)
         starts = starts[starts + size <= words.first[doc_of[starts] + 1]]
-        bag, best = items.bags[item], {}
-        for s in starts.tolist():
-            own = Counter(shingles[s : s + width].tolist())
-            both = sum(min(c, own[x]) for x, c in bag.items() if x in own)
-            like = both / (2 * width - both)
-            d = int(doc_of[s])
-            if like >= threshold and (d not in best or like > best[d][0]):
-                best[d] = (like, s)
-        for d, (like, s) in best.items():
-            far = int(_simhash(shingles, np.array([s]), width)[0] ^ items.prints[item]).bit_count()
-            yield d, item, like, far, s - int(words.first[d])
+        return starts, held[starts]
+
+    for size in np.unique(of_hit).tolist():
+        width = size - SHINGLE + 1
+        need = 2 * threshold * width / (1 + threshold) - 1e-9
+        here = np.flatnonzero(of_hit == size)
+        place = np.unique(hits[which[here]])
+        starts, _ = windows(place, size, need) if len(place) >= need else (place[:0], None)
+        if not len(starts):
+            continue
+        prints = _simhash(shingles, starts, width)
+        near = {item: (starts[at], far) for at, item, far in items.within(prints, size)}
+        here = here[np.argsort(item_of[here], kind="stable")]
+        edges = np.append(np.flatnonzero(np.diff(item_of[here], prepend=-1)), len(here))
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if z - a < need:
+                continue
+            item = int(item_of[here[a]])
+            at, most = windows(hits[which[here[a:z]]], size, need)
+            # the index's candidates come first, the nearest of them before the others
+            met, far = near.get(item, (at[:0], at[:0]))
+            _, own, its = np.intersect1d(at, met, assume_unique=True, return_indices=True)
+            rank = np.full(len(at), BITS + 1)
+            rank[own] = far[its]
+            bag, best = items.bags[item], {}
+            for j in np.lexsort((at, rank)).tolist():
+                s, d = int(at[j]), int(doc_of[at[j]])
+                held, first = best.get(d, (0, s))
+                if most[j] < held or (most[j] == held and s > first):
+                    continue
+                own = Counter(shingles[s : s + width].tolist())
+                both = sum(min(c, own[x]) for x, c in bag.items() if x in own)
+                if both / (2 * width - both) >= threshold and (both > held or (both == held and s < first)):
+                    best[d] = (both, s)
+            for d, (both, s) in best.items():
+                far = int(prints[np.searchsorted(starts, s)] ^ items.prints[item]).bit_count()
+                yield d, item, both / (2 * width - both), far, s - int(words.first[d])
 
 
 def _passes(bench: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
